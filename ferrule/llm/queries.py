@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import neighbors
+from ferrule.llm import docpairs, neighbors
 from ferrule.runtime import table
 
 
@@ -14,8 +14,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documentation_pairs(table(spark, sf_dir, "chunks"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pairs(spark, sf_dir).where("origin = 'own'").select("chunk_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    found = [p1_found, p2_pairs, p2_found]
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
