@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, neighbors
+from ferrule.llm import docpairs, neighbors, secrets
 from ferrule.runtime import table
 
 
@@ -22,8 +22,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pairs(spark, sf_dir).where("origin = 'own'").select("chunk_id")
 
 
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold credentials, with only these masked."""
+    files = secrets.find_credentials(table(spark, sf_dir, "raw_files"), "file_id", "content").withColumn("source_table", F.lit("raw_files"))
+    chunks = secrets.find_credentials(table(spark, sf_dir, "chunks"), "chunk_id", "text").withColumn("source_table", F.lit("chunks"))
+    return files.unionByName(chunks)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_redacted(spark, sf_dir).select("source_table", "record_key", F.explode("lines").alias("line_no"))
+
+
 def queries() -> dict:
-    found = [p1_found, p2_pairs, p2_found]
+    found = [p1_found, p2_pairs, p2_found, p7_redacted, p7_found]
     return {q.__name__: q for q in found}
 
 
