@@ -120,8 +120,12 @@ def eligible(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
     return ids.filter(pa.array(sound)), values[sound]
 
 
-def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, block: int = 1024) -> pd.DataFrame:
-    """For every member of a leaf its ``k`` best other members with a cosine of ``least`` or more."""
+def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, at_leaf: tuple[int, np.ndarray] | None = None, block: int = 1024) -> pd.DataFrame:
+    """For every member of a leaf its ``k`` best other members with a cosine of ``least`` or more.
+
+    ``at_leaf``: this leaf and the leaves of every member; a pair that meets in
+    several leaves is then given in the first of them only.
+    """
     n = len(keys)
     best = np.full((n, k), -2, np.float32)
     who = np.zeros((n, k), np.int64)
@@ -152,6 +156,12 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, b
         a, b = vectors[r].astype(np.float64), vectors[who[r, c]].astype(np.float64)
         exact = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
         best[r, c] = np.where(exact >= least - 1e-9, np.maximum(exact, least), -2)
+    if at_leaf:
+        here, leaves = at_leaf
+        for i in range(0, n, block):
+            both = leaves[i : i + block, None, :, None] == leaves[who[i : i + block]][:, :, None, :]
+            first = np.where(both.any(3), leaves[i : i + block, None, :], np.iinfo(np.int64).max).min(2)
+            best[i : i + block][first != here] = -2
     some = np.flatnonzero((best >= least).any(axis=1))
     good = best[some] >= least
     return pd.DataFrame({"dir": keys[some], "partners": [keys[w[g]] for w, g in zip(who[some], good, strict=True)], "cosines": [b[g] for b, g in zip(best[some], good, strict=True)]})
@@ -194,13 +204,14 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
 
         def flush(keys: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
             leaves = best_leaves(unit(v), forest.value, trees, probes)
-            out: dict[str, list] = {"leaf": [], "dirs": [], "block": []}
+            out: dict[str, list] = {"leaf": [], "dirs": [], "leaves": [], "block": []}
             for p in np.unique(leaves):
                 at = np.flatnonzero((leaves == p).any(axis=1))
                 out["leaf"].append(int(p))
                 out["dirs"].append(keys[at].tobytes())
+                out["leaves"].append(zstandard.compress(leaves[at].astype(np.int64).tobytes(), 1))
                 out["block"].append(pack(v[at]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("leaf", pa.int64()), ("dirs", pa.binary()), ("block", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("leaf", pa.int64()), ("dirs", pa.binary()), ("leaves", pa.binary()), ("block", pa.binary())]))
 
         held_keys, held, n = [], [], 0
         for b in it:
@@ -224,8 +235,9 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["dirs"]])
         vectors = np.concatenate([unpack(x, dim) for x in pdf["block"]])
+        leaves = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in pdf["leaves"]]).reshape(len(keys), -1)
         keys, at = np.unique(keys, return_index=True)
-        return leaf_partners(keys, unit(vectors[at]), k, least)
+        return leaf_partners(keys, unit(vectors[at]), k, least, (int(pdf["leaf"].iloc[0]), leaves[at]))
 
     def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -233,15 +245,13 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
             if len(ids):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(direction_keys(v))], ["id", "dir"])
 
-    found = src.mapInArrow(route, "leaf long, dirs binary, block binary").groupBy("leaf").applyInPandas(search, "dir long, partners array<long>, cosines array<float>")
+    found = src.mapInArrow(route, "leaf long, dirs binary, leaves binary, block binary").groupBy("leaf").applyInPandas(search, "dir long, partners array<long>, cosines array<float>")
     members = src.mapInArrow(name, "id string, dir long").distinct()
     # Of each direction the k + 1 smallest ids are enough to give any row its k equal neighbors.
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("id"))).where(F.col("r") <= k + 1)
     first = first.groupBy("dir").agg(F.sort_array(F.collect_list("id")).alias("own"))
     merged = found.groupBy("dir").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("cosines", lambda c: -c).alias("far"), F.col("partners").alias("to")))).alias("all"))
-    merged = merged.select("dir", F.explode(F.slice(F.array_distinct(F.array_sort("all")), 1, k + probes)).alias("x")).select("dir", F.col("x.far").alias("far"), F.col("x.to").alias("to"))
-    # One partner may come from several leaves with cosines that differ in the last bit.
-    merged = merged.groupBy("dir", "to").agg(F.min("far").alias("far"))
+    merged = merged.select("dir", F.explode(F.slice(F.array_sort("all"), 1, k)).alias("x")).select("dir", F.col("x.far").alias("far"), F.col("x.to").alias("to"))
     others = merged.join(first.select(F.col("dir").alias("to"), F.col("own").alias("theirs")), "to")
     others = others.groupBy("dir").agg(F.array_sort(F.flatten(F.collect_list(F.transform("theirs", lambda i: F.struct(F.col("far"), i.alias("id")))))).alias("near"))
     reach = first.join(others, "dir", "left").select("dir", "own", F.slice(F.coalesce("near", F.array().cast("array<struct<far:float,id:string>>")), 1, k).alias("near"))
