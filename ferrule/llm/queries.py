@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, neighbors, secrets
+from ferrule.llm import docpairs, leakage, neighbors, secrets
 from ferrule.runtime import table
 
 
@@ -33,8 +33,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_redacted(spark, sf_dir).select("source_table", "record_key", F.explode("lines").alias("line_no"))
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where("kind = 'run'").select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    found = [p1_found, p2_pairs, p2_found, p7_redacted, p7_found]
+    found = [p1_found, p2_pairs, p2_found, p7_redacted, p7_found, p9_leaks, p9_found]
     return {q.__name__: q for q in found}
 
 
