@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, leakage, neighbors, secrets
+from ferrule.llm import docpairs, leakage, neighbors, secrets, sentences
 from ferrule.runtime import table
 
 
@@ -41,8 +41,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).where("kind = 'run'").select("doc_id", "item_id")
 
 
+def p10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_units(spark, sf_dir).select("doc_id", "end_char")
+
+
 def queries() -> dict:
-    found = [p1_found, p2_pairs, p2_found, p7_redacted, p7_found, p9_leaks, p9_found]
+    found = [p1_found, p2_pairs, p2_found, p7_redacted, p7_found, p9_leaks, p9_found, p10_units, p10_found]
     return {q.__name__: q for q in found}
 
 
