@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, leakage, neighbors, secrets, sentences
+from ferrule.llm import docpairs, leakage, neighbors, qa_defects, secrets, sentences
 from ferrule.runtime import table
 
 
@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pairs(spark, sf_dir).where("origin = 'own'").select("chunk_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa_defects.defective_pairs(table(spark, sf_dir, "qa_pairs"))
+
+
 def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold credentials, with only these masked."""
     files = secrets.find_credentials(table(spark, sf_dir, "raw_files"), "file_id", "content").withColumn("source_table", F.lit("raw_files"))
@@ -50,7 +54,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [p1_found, p2_pairs, p2_found, p7_redacted, p7_found, p9_leaks, p9_found, p10_units, p10_found]
+    found = [p1_found, p2_pairs, p2_found, p4_found, p7_redacted, p7_found, p9_leaks, p9_found, p10_units, p10_found]
     return {q.__name__: q for q in found}
 
 
