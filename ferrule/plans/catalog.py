@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrule.plans import orphan_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
 def queries() -> dict:
-    return {}
+    return dict(orphan_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(orphan_queries.SQL)
