@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, leakage, neighbors, qa_defects, secrets, sentences
-from ferrule.runtime import table
+from ferrule.llm import docpairs, leakage, neighbors, packing, qa_defects, secrets, sentences
+from ferrule.runtime import checkpoint, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_redacted(spark, sf_dir).select("source_table", "record_key", F.explode("lines").alias("line_no"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = checkpoint(packing.token_counts(table(spark, sf_dir, "documents")))
+    return packing.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir), 2048)
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -54,7 +63,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [p1_found, p2_pairs, p2_found, p4_found, p7_redacted, p7_found, p9_leaks, p9_found, p10_units, p10_found]
+    found = [p1_found, p2_pairs, p2_found, p4_found, p7_redacted, p7_found, p8_containers, p8_fill, p9_leaks, p9_found, p10_units, p10_found]
     return {q.__name__: q for q in found}
 
 
