@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm import docpairs, leakage, neighbors, packing, provenance, qa_defects, secrets, sentences
+from ferrule.llm import docpairs, leakage, neighbors, packing, provenance, qa_defects, secrets, sentences, syntax
 from ferrule.runtime import checkpoint, table
 
 
@@ -35,6 +35,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.label_files(sources).where("label <> 'handwritten'").select("file_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "raw_files")).select("file_id")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "raw_files")
+    return syntax.invalid_rates(files, syntax.invalid_files(files))
+
+
 def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold credentials, with only these masked."""
     files = secrets.find_credentials(table(spark, sf_dir, "raw_files"), "file_id", "content").withColumn("source_table", F.lit("raw_files"))
@@ -72,7 +81,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [p1_found, p2_pairs, p2_found, p4_found, p5_labels, p5_found, p7_redacted, p7_found, p8_containers, p8_fill, p9_leaks, p9_found, p10_units, p10_found]
+    found = [p1_found, p2_pairs, p2_found, p4_found, p5_labels, p5_found, p6_found, p6_rates, p7_redacted, p7_found, p8_containers, p8_fill, p9_leaks, p9_found, p10_units, p10_found]
     return {q.__name__: q for q in found}
 
 
