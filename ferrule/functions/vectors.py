@@ -53,5 +53,5 @@ def similarity(a: Column | str, b: Column | str, metric: str) -> Column:
     if metric == "dot":
         return dot(a, b)
     if metric == "euclidean":
-        return -euclidean(a, b)
+        return F.lit(0.0) - euclidean(a, b)
     raise ValueError(f"unknown metric {metric!r}")
