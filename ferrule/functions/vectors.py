@@ -38,7 +38,9 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
 def normalized(a: Column | str, floor: float = 1e-10) -> Column:
     """The vector at unit length; its norm counts as ``floor`` at least."""
     a = _c(a)
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(floor)))
+    # The norm is bound once, as the one element of an array: within a lambda it would be worked out for every value.
+    bound = F.array(F.greatest(norm(a), F.lit(floor)))
+    return F.when(a.isNotNull(), F.element_at(F.transform(bound, lambda n: F.transform(a, lambda x: x.cast("double") / n)), 1))
 
 
 def truncated(a: Column | str, dims: int) -> Column:

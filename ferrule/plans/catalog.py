@@ -13,9 +13,9 @@ from ferrule.streaming import ingest
 _CATALOGS = [store_queries.CATALOG, chunk_queries.CATALOG, search_queries.CATALOG, graph_queries.CATALOG, answer_queries.CATALOG]
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid hits of the golden questions, one hop of neighbours, interleaved, cut to the budget, as prompts."""
-    hits = search_queries.hybrid_hits(spark, sf_dir).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), F.lit("hybrid").alias("source"))
+def flagship(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
+    """Hybrid hits of the golden questions whose id ``every`` divides, one hop of neighbours, interleaved, cut to the budget, as prompts."""
+    hits = search_queries.hybrid_hits(spark, sf_dir, every).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), F.lit("hybrid").alias("source"))
     near = graph.expand_neighbors(hits.select("query_id", "chunk_id"), R.edges(spark, sf_dir), R.live_nodes(spark, sf_dir))
     near = near.select("query_id", "chunk_id", F.lit(0).alias("pos"), F.lit("graph_expand").alias("source"))
     placed = context.interleave(graph.merge_hits(hits, near))

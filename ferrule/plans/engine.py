@@ -141,12 +141,13 @@ def hybrid(questions: DataFrame, chunks: DataFrame, k: int, width: int, short_di
 
     Result: ``query_id, row_id, vector_rank, text_rank, rrf_score, rank``.
     """
-    c = chunks.where("vector_768 is not null").select("chunk_id", "repo_name", "vector_768").dropDuplicates(["chunk_id"])
+    c = chunks.where("vector_768 is not null").select(F.col("chunk_id").alias("row_id"), "repo_name", F.col("vector_768").alias("rv")).dropDuplicates(["row_id"])
     q = questions.select("query_id", "question", "repo_name", "vector_768")
-    pairs = q.join(c.select("repo_name", F.col("chunk_id").alias("row_id"), F.col("vector_768").alias("rv")), "repo_name")
-    short = vectors.dot(vectors.truncated("vector_768", short_dims), vectors.truncated("rv", short_dims))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id")
-    first = pairs.select("query_id", "row_id", "vector_768", "rv", short.alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= width)
-    vec = first.select("query_id", "row_id", vectors.dot("vector_768", "rv").alias("score")).withColumn("rank", F.row_number().over(w) - 1)
+    # Only short vectors meet row by row; whole ones join the candidates that are left.
+    near = q.where("vector_768 is not null").select("query_id", "repo_name", vectors.truncated("vector_768", short_dims).alias("qs")).join(c.select("row_id", "repo_name", vectors.truncated("rv", short_dims).alias("rs")), "repo_name")
+    near = near.select("query_id", "row_id", vectors.dot("qs", "rs").alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= width).select("query_id", "row_id")
+    full = near.join(q.select("query_id", "vector_768"), "query_id").join(c.select("row_id", "rv"), "row_id")
+    vec = full.select("query_id", "row_id", vectors.dot("vector_768", "rv").alias("score")).withColumn("rank", F.row_number().over(w) - 1)
     text = search.bm25_topk(q, chunks, "query_id", "question", "chunk_id", names.search_content("symbol_name", "docstring", "text"), width, "repo_name", "repo_name")
     return search.rrf(vec, text, k, rrf_k)

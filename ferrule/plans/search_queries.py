@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ferrule.functions import names, vectors
 from ferrule.operators import search
 from ferrule.plans import registry as R
+from ferrule.plans.engine import hybrid
 from ferrule.runtime import table
 
 CATALOG = R.Catalog()
@@ -117,18 +118,16 @@ _FUSED = "fu AS (SELECT coalesce(vk.query_id, bk.query_id) AS query_id, coalesce
 HYBRID_SQL = f"{QA}, {C}, {_bm25(_TQ, _TT, 50)}, {_VECS}, {_FUSED}"
 
 
-def embedded_questions(spark, d):
+def embedded_questions(spark, d, every: int = 50):
     c = R.chunks(spark, d).where(F.size("vector_768") == 768).select(F.col("chunk_id").alias("first_id"), "repo_name", "vector_768")
-    q = R.questions(spark, d).where("qa_id % 50 = 0").select(F.col("qa_id").alias("query_id"), "question", F.get("expected_chunk_ids", F.lit(0)).alias("first_id"))
+    q = R.questions(spark, d).where(F.col("qa_id") % every == 0).select(F.col("qa_id").alias("query_id"), "question", F.get("expected_chunk_ids", F.lit(0)).alias("first_id"))
     return q.join(c, "first_id", "left").select("query_id", "question", F.split_part("first_id", F.lit("::"), F.lit(1)).alias("repo_name"), "vector_768")
 
 
-def hybrid_hits(spark, d):
-    from ferrule.plans.engine import hybrid
-
+def hybrid_hits(spark, d, every: int = 50):
     c = R.chunks(spark, d)
     sound = c.withColumn("vector_768", F.when(F.size("vector_768") == 768, F.col("vector_768")))
-    return hybrid(embedded_questions(spark, d), sound, 5, 50)
+    return hybrid(embedded_questions(spark, d, every), sound, 5, 50)
 
 
 @add(f"WITH {HYBRID_SQL} SELECT query_id, row_id, coalesce(vector_rank, -1) AS vector_rank, coalesce(text_rank, -1) AS text_rank, round(s, 9) AS rrf_score, rank FROM fk")
