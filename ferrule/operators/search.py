@@ -157,13 +157,13 @@ def overlap_score(query_text: Column | str, row_text: Column | str) -> Column:
 def cells(rows: DataFrame, key: str, vector: str, n_cells: int, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """An inverted-file index: k-means cells fitted on at most 50,000 rows, and every row with its cell."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     src = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("row_id"), vectors.normalized(vector).alias("v")).dropDuplicates(["row_id"]).withColumn("features", array_to_vector("v"))
     fit_on = src.orderBy(F.xxhash64("row_id")).limit(50_000)
     model = KMeans(k=n_cells, seed=seed, maxIter=10, predictionCol="cell").fit(fit_on)
     centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, center array<double>")
-    return centers, model.transform(src).select("row_id", "v", "cell").withColumn("v", F.coalesce("v", vector_to_array("features")))
+    return centers, model.transform(src).select("row_id", "v", "cell")
 
 
 def ann_topk(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, vector: str, k: int, min_rows: int = 256, n_cells: int = 16, probes: int = 8) -> DataFrame:
