@@ -107,10 +107,7 @@ def lex(src: str, at: int = 0, in_template: bool = False) -> tuple[list[Token],
                 j += 1
             if j >= n:
                 raise Bad("regular expression")
-            try:
-                flags = re.match(r"[a-z]*", src[j + 1 :])[0]
-            except TypeError:
-                flags = ""
+            flags = re.compile(r"[a-z]*").match(src, j + 1)[0]
             out.append(Token("r", src[at : j + 1], nl, at))
             at, nl = j + 1 + len(flags), False
         elif m := PUNCT.match(src, at):
@@ -134,8 +131,7 @@ class Productions:
     def __init__(self, tokens: list[Token], types: bool) -> None:
         self.t, self.i, self.types = tokens, 0, types
         self.functions = self.loops = self.breaks = self.level = 0
-        self.no_in = False
-        self.target = False
+        self.no_in = self.target = self.ambient = False
         self.asynchronous = True  # a module may await at its top
 
     # Tokens
@@ -356,7 +352,7 @@ class Productions:
                 self.annotation()
             if self.take("="):
                 self.assignment()
-            elif (const or pattern) and not header and not (header and self.any("of", "in")):
+            elif (const or pattern) and not header and not self.ambient:
                 raise Bad("initializer")
             if not self.take(","):
                 return
@@ -370,10 +366,7 @@ class Productions:
         if self.any("var", "let", "const"):
             const = self.peek("const")
             self.i += 1
-            before = self.i
             self.declarators(const, header=True)
-            plain = self.t[self.i - 1]
-            del before, plain
         elif not self.peek(";"):
             self.expression()
         self.no_in = False
@@ -725,8 +718,6 @@ class Productions:
                 return
             if tok.text in BINARY and not (tok.text == "in" and self.no_in) and (tok.kind == "p" or tok.text in ("in", "instanceof")):
                 self.i += 1
-                if self.types and tok.text == ">" and False:
-                    pass
                 self.unary()
                 self.target = False
             elif self.types and tok.text in ("as", "satisfies") and not tok.line_before and tok.kind == "n":
@@ -1176,6 +1167,7 @@ class Productions:
             self.class_(True)
         elif w == "declare" and nxt.kind == "n" and not nxt.line_before:
             self.i += 1
+            saved, self.ambient = self.ambient, True
             if self.take("global"):
                 self.block_of_module()
             elif self.any("var", "let", "const"):
@@ -1184,6 +1176,7 @@ class Productions:
                 self.end()
             else:
                 self.statement(top)
+            self.ambient = saved
         elif w in ("namespace", "module") and (nxt.kind == "n" or nxt.kind == "s") and not nxt.line_before:
             self.i += 1
             if self.kind() == "s":

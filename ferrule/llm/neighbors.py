@@ -164,7 +164,7 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, a
             best[i : i + block][first != here] = -2
     some = np.flatnonzero((best >= least).any(axis=1))
     good = best[some] >= least
-    return pd.DataFrame({"dir": keys[some], "partners": [keys[w[g]] for w, g in zip(who[some], good, strict=True)], "cosines": [b[g] for b, g in zip(best[some], good, strict=True)]})
+    return pd.DataFrame({"dir": keys[some], "partners": pd.Series([keys[w[g]].tolist() for w, g in zip(who[some], good, strict=True)], dtype=object), "cosines": pd.Series([b[g].tolist() for b, g in zip(best[some], good, strict=True)], dtype=object)})
 
 
 def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 5, leaf_members: int = 6144, seed: int = 7) -> DataFrame:

@@ -216,7 +216,6 @@ def python_statements(toks: list[str]) -> str:
     follows = {"else": {"if", "elif", "for", "while", "try", "except"}, "elif": {"if", "elif"}, "except": {"try", "except"}, "finally": {"try", "except", "else"}}
     stack: list[str] = [""]  # the compound statement last closed at each depth
     depth, start, last, colon, opened, first = 0, True, "", False, 0, ""
-    loops: list[str] = []
     opened_by = [""]
     for t in toks:
         if t == "INDENT":
@@ -227,6 +226,8 @@ def python_statements(toks: list[str]) -> str:
             depth, colon = depth + 1, False
             start = True
             continue
+        if stack[-1] == "try" and start and t not in ("except", "finally", "INDENT"):
+            return "try"
         if t == "DEDENT":
             opened_by.pop()
             stack.pop()
@@ -263,7 +264,6 @@ def python_statements(toks: list[str]) -> str:
             stack[-1] = first if first in heads else ""
             start = True
         last = t
-    del loops
     return "block" if colon else ""
 
 
@@ -284,6 +284,8 @@ def lexed_rows(language: str, text: str) -> tuple[str, list[tuple[str, str]], li
             return str(e) or "lexical", [], []
         names = {"n": "NAME", "d": "NUMBER", "s": "STRING", "t": "TEMPLATE", "r": "REGEX", "e": "END"}
         toks = [t.text if t.kind == "p" or t.kind == "n" and t.text in ecma.RESERVED else names[t.kind] for t in tokens]
+        if language == "typescript":  # closing angle brackets of types are lexed as shifts
+            toks = [">" if t in (">>", ">>>") else t for t in toks]
         # A line break may stand for a semicolon, so only pairs within a line are certain.
         pairs = {(a, b) for a, b, t in zip(toks, toks[1:], tokens[1:], strict=False) if not t.line_before and t.kind != "e"}
         fault = ecma.check(text, language == "typescript")
