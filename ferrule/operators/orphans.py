@@ -10,11 +10,9 @@ with a third of all references does not make one task long.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +22,32 @@ from ferrule.runtime import slots
 SAMPLE_KEYS = 20_000
 #: Largest share of the sampled references that one task takes, in units of an even share.
 HOT_FACTOR = 2
+#: References that one task should get, about.
+TASK_REFS = 500_000
 
 
-def _boundaries(refs: DataFrame, parts: int) -> tuple[list[str], list[int]]:
-    """Upper boundaries of ranges and how many tasks share each range's references."""
-    picked = refs.select("key", F.xxhash64("key", "ref").alias("h")).orderBy("h", "key").limit(SAMPLE_KEYS)
-    keys = sorted(r[0] for r in picked.select("key").collect())
-    if not keys:
-        return [], [1]
+def _boundaries(refs: DataFrame, parents: DataFrame, parts: int) -> tuple[list[str], list[int]]:
+    """Upper boundaries of ranges and how many tasks share each range's references.
+
+    Both sides give half of the sample each, so neither many parents nor many
+    references of a range end up in one task.
+    """
+    half = SAMPLE_KEYS // 2
+    picked = refs.select("key", F.xxhash64("key", "ref").alias("h")).orderBy("h", "key").limit(half)
+    asked = sorted(r[0] for r in picked.select("key").collect())
+    held = parents.select("key", F.xxhash64("key", "since").alias("h")).orderBy("h", "key").limit(half)
+    keys = sorted(asked + [r[0] for r in held.select("key").collect()])
     bounds: list[str] = []
-    for i in range(1, parts):
+    for i in range(1, parts if keys else 1):
         b = keys[i * len(keys) // parts]
         if not bounds or b > bounds[-1]:
             bounds.append(b)
-    even = len(keys) / parts
-    edges = [0, *(bisect.bisect_left(keys, b) for b in bounds), len(keys)]
+    even = max(1, len(asked)) / parts
+    edges = [0, *(bisect.bisect_left(asked, b) for b in bounds), len(asked)]
     return bounds, [max(1, round((b - a) / (HOT_FACTOR * even))) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+
 def orphan_references(refs: DataFrame, parents: DataFrame, ref_id: str, key: str, written_at: str, parent_key: str, valid_from: str, valid_to: str, parts: int | None = None) -> DataFrame:
     """References whose key has no parent that lives when the reference is written.
 
@@ -57,8 +63,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref_id: str, key: str
     r = refs.select(F.col(ref_id).alias("ref"), F.col(key).cast("string").alias("key"), F.unix_micros(F.col(written_at).cast("timestamp")).alias("at"))
     r = r.where(F.col("key").isNotNull() & (F.regexp_replace("key", r"\s+", "") != ""))
     p = parents.where(F.col(parent_key).isNotNull()).select(F.col(parent_key).cast("string").alias("key"), F.unix_micros(F.col(valid_from).cast("timestamp")).alias("since"), F.unix_micros(F.col(valid_to).cast("timestamp")).alias("until"))
-    parts = parts or max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds, shares = _boundaries(r, parts)
+    parts = parts or max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")), -(-r.count() // TASK_REFS))
+    bounds, shares = _boundaries(r, p, parts)
     ranges = spark.sparkContext.broadcast((np.array(bounds, dtype=object), np.array(shares)))
     ref_type = refs.schema[ref_id].dataType.simpleString()
 
