@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ferrule.functions import names, vectors
 
 #: Queries that one broadcast may hold; more are taken in blocks of this size.
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 1_000
 
 
 def _query_matrix(queries: DataFrame, key: str, vector: str) -> list[tuple[list, np.ndarray]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ferrule.config import Settings
 from ferrule.functions import names, vectors
 from ferrule.operators import context, evaluation, graph, parsing, search
+from ferrule.plans.cache import Cache
 from ferrule.runtime import checkpoint
 from ferrule.sources.store import TableStore, WriteLog, wal_key
 
@@ -76,6 +77,7 @@ class Engine:
     settings: Settings
     embedder: Embedder
     generate: Generator = extractive
+    cache: Cache = field(default_factory=Cache)
 
     def index(self, files: DataFrame, force: bool = False) -> dict:
         """Parses new files, embeds and stores their chunks, and resolves the edges of their repositories.
@@ -96,6 +98,7 @@ class Engine:
             chunks = self.store.read("chunks")
             raw = graph.hydrate_raw_edges(chunks).join(chunks.select(F.col("chunk_id").alias("source_id"), "repo_name"), "source_id")
             self.store.add_edges(graph.resolve_edges(raw, chunks))
+            self.cache.clear()
             self.log.record(todo.select(F.col("repo_name").alias("repo"), F.lit("file_indexed").alias("op"), "kwargs"))
         return {"files_processed": n, "files_skipped": files.count() - n, "total_chunks": self.store.read("chunks").count(), "elapsed_s": round(time.time() - began, 3)}
 
@@ -125,6 +128,42 @@ class Engine:
         text, used = self.generate(row["prompt"])
         return {"answer": text, "route": row["route"], "chunks": row["n"] or 0, "tokens": used, "latency_ms": round(1000 * (time.time() - began), 1)}
 
+    def cached_answer(self, question: str, repo: str) -> dict:
+        """``answer``, kept until the tables change."""
+        return self.cache.get("answer", (question, repo), lambda: self.answer(question, repo))
+
+    def generated(self, prompts: DataFrame, column: str = "prompt") -> DataFrame:
+        """Adds ``reply`` to a table of prompts, generated on the executors."""
+        generate = self.generate
+
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda p: generate(p)[0] if isinstance(p, str) else None)
+
+        return prompts.withColumn("reply", F.pandas_udf(run, "string")(column))
+
+    def judged(self, answers: DataFrame) -> DataFrame:
+        """A judge's score for a fixed share (``judge_rate``) of answers (``query_id, answer, context``); null where it gives no number."""
+        ask = context.filled("How far does the text support the answer? Reply with 'Score: <0 to 1>'.\n\nText: {context}\n\nAnswer: {question}", F.left("context", F.lit(2000)), F.col("answer"))
+        picked = answers.where(evaluation.sampled(F.col("query_id"), self.settings.judge_rate)).withColumn("prompt", ask)
+        return self.generated(picked).select("query_id", evaluation.judge_score(F.col("reply")).alias("faithfulness"))
+
+    def golden(self, n: int) -> DataFrame:
+        """Question-answer rows for the ``n`` chunks that call most, from the chunk and up to five neighbours.
+
+        Replies that hold no question or answer are dropped; three times ``n`` anchors are tried.
+        """
+        chunks, edges, nodes = self.store.read("chunks"), self.store.read("edges"), self.store.read("nodes")
+        top = graph.high_degree(edges, 3 * n).select(F.col("chunk_id").alias("query_id"), "chunk_id", F.col("degree"))
+        near = graph.expand_neighbors(top.select("query_id", "chunk_id"), edges, nodes, 5)
+        both = top.select("query_id", "chunk_id", F.lit(0).alias("p")).unionByName(near.withColumn("p", F.lit(1)))
+        blocks = both.join(chunks, "chunk_id").select("query_id", F.struct("p", "chunk_id").alias("place"), context.block().alias("block"), "chunk_id")
+        ctx = context.assembled(blocks, "query_id", "place", "block").join(blocks.groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("expected_chunk_ids")), "query_id")
+        ask = context.filled("Write one question that this code answers, and its answer, as JSON with the keys question and answer.\n\n{context}{question}", F.left("context", F.lit(4000)), F.lit(""))
+        got = self.generated(ctx.withColumn("prompt", ask)).withColumn("qa", evaluation.qa_fields(F.col("reply")))
+        got = got.where("qa.question is not null and qa.answer is not null").join(chunks.select(F.col("chunk_id").alias("query_id"), F.col("symbol_name").alias("_anchor_symbol"), F.col("file_path").alias("_anchor_file")), "query_id").join(top.select("query_id", "degree"), "query_id")
+        out = got.orderBy(F.desc("degree"), "query_id").limit(n)
+        return out.select(F.col("qa.question").alias("question"), "expected_chunk_ids", F.left("context", F.lit(2000)).alias("expected_context"), F.col("qa.answer").alias("ground_truth_answer"), "_anchor_symbol", "_anchor_file")
+
     def health(self) -> dict:
         stats = graph.store_stats(*(self.store.read(t) for t in ("chunks", "nodes", "edges")))
         return {"status": "ok"} | {r["what"]: r["n"] for r in stats.collect()}

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.config import Settings
-from ferrule.plans import engine
+from ferrule.plans import engine, observe
+from ferrule.plans.cache import Cache
 from ferrule.sources import files, store
 from ferrule.streaming.ingest import run_ingest
 
@@ -77,6 +78,15 @@ def test_engine_end_to_end(spark, tmp_path):
     ids = [r["chunk_id"] for r in e.store.read("chunks").where("repo_name = 'r'").collect()]
     gold = spark.createDataFrame([(1, "load_rows rows file", "r", ids)], "query_id int, question string, repo_name string, expected_chunk_ids array<string>")
     assert e.evaluate(gold).first()["context_recall"] == 1.0
+    e.generate = lambda p: ('{"question": "q?", "answer": "a"}' if "JSON" in p else "Score: 0.5", 1)
+    g = e.golden(1)
+    assert g.count() == 0  # the one caller has a single call
+    e.store.write("edges", e.store.read("edges").unionByName(spark.createDataFrame([(ids[0], "r::other", "CALLS"), (ids[0], "r::third", "CALLS")], "source_id string, target_id string, edge_type string")))
+    assert e.golden(1).first()["ground_truth_answer"] == "a"
+    e.settings = Settings(judge_rate=1.0)
+    assert e.judged(spark.createDataFrame([(1, "a", "c")], "query_id int, answer string, context string")).first()["faithfulness"] == 0.5
+    first = e.cached_answer("How does load_rows read the file?", "r")
+    assert e.cached_answer("How does load_rows read the file?", "r") is first and e.cache.hits == 1
     e.store.compact("chunks")
     e.store.purge("r")
     assert e.health()["chunks"] == 1 and e.store.read("edges").count() == 0
@@ -90,3 +100,19 @@ def test_stream_ingest(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c"), (2, "changed")], "k int, v string").write.mode("append").parquet(src)
     run_ingest(spark, src, schema, ["k"], out, str(tmp_path / "s"))
     assert {(r["k"], r["v"]) for r in spark.read.parquet(out).collect()} == {(1, "a"), (2, "b"), (3, "c"), (2, "changed")}
+
+
+def test_cache_and_steps(spark):
+    c = Cache(2)
+    for k in "aba":
+        c.get("answer", (k,), lambda k=k: k)
+    c.get("answer", ("c",), lambda: "c")
+    assert list(c.kept["answer"]) == [("a",), ("c",)] and c.hits == 1
+    c.clear()
+    assert not c.kept["answer"]
+    with pytest.raises(KeyError):
+        c.get("other", (), lambda: 1)
+    with observe.timed("step") as step:
+        df, seen = observe.counted(spark.range(7), "rows")
+        df.collect()
+    assert seen.get["rows"] == 7 and step.latency_ms > 0
