@@ -153,11 +153,26 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
     read_docs = checkpoint(spread(src, "doc_id").mapInArrow(read, f"doc_id {kind_of_id}, n long, ids binary").dropDuplicates(["doc_id"]))
     texts = read_docs.where(F.length("ids") > 0).select("doc_id", "ids")
 
-    def each(b: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
-        for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.frombuffer(x, np.int32)
-            at = windows(len(ids), width, step)
-            yield d, ids, at
+    def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+        """Documents of about 100,000 words at a time: their ids, where each begins, all words, all windows."""
+        names, parts, at, starts, n = [], [], [], [], 0
+
+        def out():
+            return names, np.array([*starts, n]), np.concatenate(parts), np.concatenate(at)
+
+        for b in it:
+            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(x, np.int32)
+                names.append(d)
+                parts.append(ids)
+                starts.append(n)
+                at.append(windows(len(ids), width, step) + n)
+                n += len(ids)
+                if n >= 100_000:
+                    yield out()
+                    names, parts, at, starts, n = [], [], [], [], 0
+        if n:
+            yield out()
 
     def part() -> int:
         from pyspark import TaskContext
@@ -169,9 +184,8 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = None
-            for b in it:
-                for _, ids, at in each(b):
-                    got = make(got, ids, at)
+            for _, _, ids, at in groups(it):
+                got = make(got, ids, at)
             if got is not None:
                 yield pa.RecordBatch.from_pydict({"part": [part()], "data": [np.ascontiguousarray(got).tobytes()]})
 
@@ -179,9 +193,11 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
 
     def count(got, ids, at):
         got = np.zeros(size + 1) if got is None else got
-        for s, e in at:
-            got[np.unique(ids[s:e])] += 1
-        return got
+        place = at[:, :1] + np.arange(width)
+        words_of = np.sort(np.where(place < at[:, 1:], ids[np.minimum(place, len(ids) - 1)], size), axis=1)
+        first = np.ones(words_of.shape, bool)
+        first[:, 1:] = words_of[:, 1:] != words_of[:, :-1]
+        return got + np.bincount(words_of[first], minlength=size + 1)
 
     df = summed(texts.mapInArrow(task_sum(count), "part long, data binary"))
     n = read_docs.agg(F.sum(F.when(F.col("n") <= width, 1).otherwise(F.ceil((F.col("n") - width) / step) + 1))).first()[0] or 0
@@ -196,12 +212,22 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
         def power(got, ids, at, weights=weights):
             e, idf = weights.value
             got = np.zeros(e.shape) if got is None else got
-            at = at[window_sums((ids < size)[:, None], at)[:, 0] > 0]
+            # Only known words carry weight, so windows are counted over these alone.
+            known = np.flatnonzero(ids < size)
+            before = np.concatenate([[0], np.cumsum(ids < size)])
+            at = before[at]
+            at = at[at[:, 1] > at[:, 0]]
+            if not len(at):
+                return got
+            ids = ids[known]
             y = window_sums(e[ids], at) / (window_sums((idf**2)[ids][:, None], at) + 1e-9)
             steps = np.zeros((len(ids) + 1, e.shape[1]))
-            np.add.at(steps, at[:, 0], y)
-            np.add.at(steps, at[:, 1], -y)
-            np.add.at(got, ids, np.cumsum(steps, 0)[:-1])
+            for end, sign in ((0, 1), (1, -1)):  # both ends rise from window to window
+                places, first = np.unique(at[:, end], return_index=True)
+                steps[places] += sign * np.add.reduceat(y, first, axis=0)
+            order = np.argsort(ids, kind="stable")
+            rows, first = np.unique(ids[order], return_index=True)
+            got[rows] += np.add.reduceat(np.cumsum(steps, 0)[order], first, axis=0)
             return got
 
         z = summed(texts.mapInArrow(task_sum(power), "part long, data binary"))
@@ -227,32 +253,40 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
     def match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, vectors, owner, item_ids, answer_ids, names = held.value
         runs = [np.sort(run_keys(x, min_run)) for x in item_ids]
-        for b in it:
+        for docs_, starts, all_ids, at in groups(it):
             rows: dict[str, list] = {"doc_id": [], "item_id": [], "kind": [], "run": [], "common": []}
-            for d, ids, at in each(b):
-                at = at[window_sums((ids < size)[:, None], at)[:, 0] >= min(min_run * 2 / 3, len(ids))]
-                if not len(at) or not len(vectors):
-                    continue
-                p = window_sums(latent[ids], at)
+            doc_of = np.searchsorted(starts, at[:, 0], side="right") - 1
+            enough = np.minimum(min_run * 2 / 3, np.diff(starts)[doc_of])
+            keep = window_sums((all_ids < size)[:, None], at)[:, 0] >= enough
+            at, doc_of = at[keep], doc_of[keep]
+            near: dict[tuple[int, int], list] = {}
+            for k in range(0, len(at) if len(vectors) else 0, 1024):
+                p = window_sums(latent[all_ids[at[k, 0] : at[min(k + 1023, len(at) - 1), 1]]], at[k : k + 1024] - at[k, 0])
                 p = (p / (np.linalg.norm(p, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
-                first, last = np.full(len(item_ids), len(ids)), np.zeros(len(item_ids), np.int64)
-                near = np.zeros(len(item_ids), np.float32)
-                for k in range(0, len(p), 256):
-                    close = p[k : k + 256] @ vectors.T
-                    r, c = np.nonzero(close >= closeness)
-                    np.minimum.at(first, owner[c], at[k + r, 0])
-                    np.maximum.at(last, owner[c], at[k + r, 1])
-                    np.maximum.at(near, owner[c], close[r, c])
-                keys = run_keys(ids, min_run)
-                for i in np.flatnonzero(near > 0):
-                    seg, item = ids[max(0, first[i] - len(item_ids[i])) : last[i] + len(item_ids[i])], item_ids[i]
-                    run = longest_run(item, ids) if len(runs[i]) and np.isin(keys, runs[i]).any() else 0
-                    common = common_subsequence(item, seg) / max(1, len(item))
-                    answered = not len(answer_ids[i]) or longest_run(answer_ids[i], ids) == len(answer_ids[i])
-                    kind = "run" if run >= min_run else "paraphrase" if common >= paraphrase and answered else None
-                    if kind:
-                        for k, v in zip(rows, (d, names[i], kind, run, common), strict=True):
-                            rows[k].append(v)
+                r, c = np.nonzero(p @ vectors.T >= closeness)
+                if not len(r):
+                    continue
+                pair = doc_of[k + r] * len(item_ids) + owner[c]
+                order = np.argsort(pair, kind="stable")
+                keys, first = np.unique(pair[order], return_index=True)
+                lo, hi = np.minimum.reduceat(at[k + r, 0][order], first), np.maximum.reduceat(at[k + r, 1][order], first)
+                for key, a, z in zip(keys.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    seen = near.setdefault((key // len(item_ids), key % len(item_ids)), [a, z])
+                    seen[0], seen[1] = min(seen[0], a), max(seen[1], z)
+            runs_of: dict[int, np.ndarray] = {}
+            for (o, i), (first_, last_) in near.items():
+                ids = all_ids[starts[o] : starts[o + 1]]
+                if o not in runs_of:
+                    runs_of = {o: run_keys(ids, min_run)}
+                item = item_ids[i]
+                seg = ids[max(0, first_ - starts[o] - len(item)) : last_ - starts[o] + len(item)]
+                run = longest_run(item, ids) if len(runs[i]) and np.isin(runs_of[o], runs[i]).any() else 0
+                common = common_subsequence(item, seg) / max(1, len(item))
+                answered = not len(answer_ids[i]) or longest_run(answer_ids[i], ids) == len(answer_ids[i])
+                kind = "run" if run >= min_run else "paraphrase" if common >= paraphrase and answered else None
+                if kind:
+                    for k, v in zip(rows, (docs_[o], names[i], kind, run, common), strict=True):
+                        rows[k].append(v)
             yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64() if kind_of_id == "bigint" else pa.string()), ("item_id", pa.int64() if item_type == "bigint" else pa.string()), ("kind", pa.string()), ("run", pa.int64()), ("common", pa.float64())])
