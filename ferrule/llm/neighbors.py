@@ -167,7 +167,7 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, a
     return pd.DataFrame({"dir": keys[some], "partners": pd.Series([keys[w[g]].tolist() for w, g in zip(who[some], good, strict=True)], dtype=object), "cosines": pd.Series([b[g].tolist() for b, g in zip(best[some], good, strict=True)], dtype=object)})
 
 
-def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 5, leaf_members: int = 6144, seed: int = 7) -> DataFrame:
+def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 5, leaf_members: int = 12_288, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other rows of every row.
 
     Result: ``id, neighbor, cosine``, at most ``k`` rows per id, only with a cosine
