@@ -43,6 +43,9 @@ IDENTIFIER = re.compile(r"[a-z_$][\w$]*(?:_[\w$]+|\(\)|[a-z][A-Z]\w*|\.\w+\()|[a
 FENCE = re.compile(r"^\s{0,12}(`{3,}|~{3,})")
 HEADING = re.compile(r"^\s{0,3}#{1,6}(?:\s+\S|\s*$)")
 ITEM = re.compile(r"^\s*(?:[-*+•‣◦–]|\(?\d{1,3}[.)]|\(?[a-zA-Z][)])\s+(?=\S)")
+#: Within a paragraph a wrapped line may begin with a number or a dash; only these begin a list there.
+INTERRUPTS = re.compile(r"^\s*(?:[-*+•‣◦]|1[.)])\s")
+INVISIBLE = " \t\n\r\x0b\x0c\xa0\u2009\u202f\u3000\u200b\u200c\u200d\u2060\ufeff"
 WORD_BEFORE = re.compile(r"[^\s\"'“”„«»‘’()\[\]{}（）「」『』,;:!?，、：；]*$")
 
 
@@ -71,7 +74,7 @@ def depths(s: str) -> list[int]:
 def boundary(s: str, m: re.Match, end: int) -> float | None:
     """How much the closing word before ``m`` and the opening word after ``end`` speak for a boundary; None where there can be none."""
     t, after = m["t"], s[end:]
-    rest = after.lstrip()
+    rest = after.lstrip(INVISIBLE).lstrip()
     if not rest:
         return 9.0
     gap = len(after) > len(rest)
@@ -207,7 +210,7 @@ def unit_ends(text: str) -> list[int]:
         elif HEADING.match(line):
             close()
             ends.append(start + len(line.rstrip()))
-        elif m := ITEM.match(line):
+        elif (m := ITEM.match(line)) and (not para or INTERRUPTS.match(line)):
             close()
             ends.extend(start + m.end() + e for e in split_block(line[m.end() :]))
         elif para:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from ferrule.llm import qa_defects, secrets
@@ -33,12 +35,13 @@ PEM = "-----BEGIN RSA PRIVATE KEY-----"
 
 @pytest.mark.parametrize(
     ("line", "secret"),
-    [(f'api_key = "{S}"', S), (f"const authToken = '{S}';", S), ("password: 'River!42stone'", "River!42stone"), (f"export API_TOKEN={S}", S), (f'dsn = "postgres://app:{S}@db.internal/x"', S), (f'headers = {{"Authorization": "Bearer {S}"}}', S), (f"# old client_secret, still valid: {S}", S), (f"passwd = os.environ.get('PASSWD', '{S}')", S), (f"cmd = 'deploy --user ann --secret {S}'", S), ('api_key = "changeme"', None), ('password = "<your-password>"', None), ('checksum = "3932f5e18e2f2be5cc3fa676304650d59576ecd4"', None), ('request_id = "9c7c7538-a52f-8f8a-93dd-8afdaa4e0741"', None), ('token = "primary-500"', None), ('secret = os.environ["SECRET"]', None), ("# passwd is read from the vault", None), ("def merge_token_stream(items, limit=12):", None), ("-----BEGIN PUBLIC KEY-----", None), ('hint = "password must have 12 characters"', None)],
+    [(f'api_key = "{S}"', S), (f"const authToken = '{S}';", S), (f'var SIGNING_KEY_0 = "{S}";', S), ("password: 'River!42stone'", "River!42stone"), (f"export API_TOKEN={S}", S), (f'dsn = "postgres://app:{S}@db.internal/x"', S), (f'headers = {{"Authorization": "Bearer {S}"}}', S), (f"# old client_secret, still valid: {S}", S), (f"passwd = os.environ.get('PASSWD', '{S}')", S), (f"cmd = 'deploy --user ann --secret {S}'", S), ('api_key = "changeme"', None), ('password = "<your-password>"', None), ('checksum = "3932f5e18e2f2be5cc3fa676304650d59576ecd4"', None), ('request_id = "9c7c7538-a52f-8f8a-93dd-8afdaa4e0741"', None), ('token = "primary-500"', None), ('secret = os.environ["SECRET"]', None), ("# passwd is read from the vault", None), ("def merge_token_stream(items, limit=12):", None), ("-----BEGIN PUBLIC KEY-----", None), ('hint = "password must have 12 characters"', None)],
 )
 def test_credentials(line, secret):
     found, masked = secrets.scan(line, [0], secrets.trained(), {})
     assert bool(found) == bool(secret)
     if secret:
+        assert re.search(secrets.GATE, line) and re.search(secrets.GATE_VALUE, line)
         assert masked == line.replace(secret, "*" * len(secret))
 
 
