@@ -42,13 +42,15 @@ def slots(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows spread over the cluster for a CPU-heavy stage.
+    """Rows spread over the cluster for a CPU-heavy stage, where the scan gives it too few tasks.
 
-    A scan of few large files yields few tasks; a hash of ``keys`` spreads
-    them. The number of partitions follows the session's shuffle setting.
+    Few large files yield few tasks; a hash of ``keys`` spreads their rows. A scan of
+    two tasks or more per slot is left as it is, so large inputs are not shuffled for it.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots(df.sparkSession))
-    return df.repartition(n, *keys)
+    wanted = slots(df.sparkSession)
+    if df.rdd.getNumPartitions() >= 2 * wanted:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), *keys)
 
 
 def ship(spark: SparkSession) -> None:
