@@ -77,7 +77,7 @@ def p10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p10_units(spark, sf_dir).select("doc_id", "end_char")
+    return sentences.sentence_ends(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

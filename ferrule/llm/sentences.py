@@ -221,14 +221,8 @@ def unit_ends(text: str) -> list[int]:
     return ends
 
 
-def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sentence units of every document.
-
-    Result: ``<id_col>, unit, start_char, end_char, sentence``, one row per unit in
-    order from 0; offsets count code points. Null ids are left out; null, empty and
-    blank texts have no unit; of a repeated id one row counts; other columns are not
-    read.
-    """
+def _cut(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+    """``id, ends`` of every row, with its ``text`` if that is asked for."""
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -236,9 +230,27 @@ def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in it:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([unit_ends(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64())), part.column(1)], ["id", "ends", "text"])
+                columns = [part.column(0), pa.array([unit_ends(t) for t in part.column(1).to_pylist()], pa.list_(pa.int64())), part.column(1)]
+                yield pa.RecordBatch.from_arrays(columns[: 2 + with_text], ["id", "ends", "text"][: 2 + with_text])
+
+    return spread(src, "id").mapInArrow(run, f"id {kind}, ends array<long>" + ", text string" * with_text)
+
 
-    units = spread(src, "id").dropDuplicates(["id"]).mapInArrow(run, f"id {kind}, ends array<long>, text string")
+def sentence_ends(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, end_char`` of every sentence unit; as ``sentence_units``, but no text is moved."""
+    ends = _cut(docs, id_col, text_col, with_text=False).dropDuplicates(["id"])
+    return ends.select(F.col("id").alias(id_col), F.explode("ends").alias("end_char"))
+
+
+def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sentence units of every document.
+
+    Result: ``<id_col>, unit, start_char, end_char, sentence``, one row per unit in
+    order from 0; offsets count code points. Null ids are left out; null, empty and
+    blank texts have no unit; of a repeated id one row counts; other columns are not
+    read.
+    """
+    units = _cut(docs, id_col, text_col, with_text=True).dropDuplicates(["id"])
     prior = F.when(F.col("unit") > 0, F.element_at("ends", F.col("unit"))).otherwise(F.lit(0)).cast("long")
     units = units.select("id", "text", "ends", F.posexplode("ends").alias("unit", "end_char"))
     body = F.substring("text", (prior + 1).cast("int"), (F.col("end_char") - prior).cast("int"))

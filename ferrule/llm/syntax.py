@@ -327,8 +327,8 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", content: str = "con
             langs = ["python" if x == "python" else "ecma" for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "grammar": langs, "fault": [r[0] for r in rows], "lefts": [[p[0] for p in r[1]] for r in rows], "rights": [[p[1] for p in r[1]] for r in rows], "brackets": [r[2] for r in rows]}, schema=pa.schema([("id", b.column(0).type), ("grammar", pa.string()), ("fault", pa.string()), ("lefts", pa.list_(pa.string())), ("rights", pa.list_(pa.string())), ("brackets", pa.list_(pa.string()))]))
 
-    text = spread(src, "id").dropDuplicates(["id"])
-    lexed = checkpoint(text.mapInArrow(run, f"id {kind}, grammar string, fault string, lefts array<string>, rights array<string>, brackets array<string>"))
+    lexed = spread(src, "id").mapInArrow(run, f"id {kind}, grammar string, fault string, lefts array<string>, rights array<string>, brackets array<string>")
+    lexed = checkpoint(lexed.dropDuplicates(["id"]))
     # The permitted pairs come from the fixed grammars, a few thousand rows whatever the data.
     allowed = F.broadcast(spark.createDataFrame(permitted_rows(), "grammar string, left string, right string"))
     pairs = lexed.select("id", "grammar", F.explode(F.arrays_zip(F.col("lefts").alias("left"), F.col("rights").alias("right"))).alias("p")).select("id", "grammar", "p.left", "p.right")
@@ -354,8 +354,8 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", content: str = "con
             keep = pa.array(bad, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(3).filter(keep)], ["id", "reason"])
 
-    judged = src.dropDuplicates(["id"]).join(suspects, "id").select("id", "language", "content", "reason")
-    return judged.mapInArrow(confirm, f"id {kind}, reason string").withColumnRenamed("id", id_col)
+    judged = src.join(suspects, "id").select("id", "language", "content", "reason")
+    return judged.mapInArrow(confirm, f"id {kind}, reason string").dropDuplicates(["id"]).withColumnRenamed("id", id_col)
 
 
 def invalid_rates(files: DataFrame, found: DataFrame, id_col: str = "file_id", repo: str = "repo_name", language: str = "language") -> DataFrame:
