@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Responses on which the terminal-context model is fitted, at most; it judges every response.
 SAMPLE_ROWS = 20_000
+#: Longer responses are left out of that sample.
+SAMPLE_CHARS = 10_000
 
 # Fillers that stand for no answer.
 FILLER = re.compile(r"(n ?a|null|none|nil|nan|tbd|tba|todo|undefined|empty|no answer|unknown|not available|not applicable|to be (done|determined|added)|placeholder|lorem ipsum.*|k ?a|keine antwort|sans réponse|sin respuesta)", re.I)
@@ -218,7 +220,7 @@ def defective_pairs(df: DataFrame, id_col: str = "qa_id", question: str = "quest
     no result.
     """
     src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a"))
-    picked = src.where(F.length(F.trim("a")) > 1).select("a").orderBy(F.xxhash64("a"), "a").limit(SAMPLE_ROWS)
+    picked = src.where((F.length(F.trim("a")) > 1) & (F.length("a") <= SAMPLE_CHARS)).select("a").orderBy(F.xxhash64("a"), "a").limit(SAMPLE_ROWS)
     weights = df.sparkSession.sparkContext.broadcast(fit_ending(sorted(r[0] for r in picked.collect())))
 
     def judge(q: pd.Series, a: pd.Series) -> pd.Series:

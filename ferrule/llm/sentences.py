@@ -50,15 +50,15 @@ WORD_BEFORE = re.compile(r"[^\s\"'“”„«»‘’()\[\]{}（）「」『』,
 
 
 def depths(s: str) -> list[int]:
-    """Open quotations and parentheses before each character; straight double quotes take turns."""
+    """Open quotations and parentheses before each character; straight double quotes and backticks take turns."""
     out, stack = [0] * (len(s) + 1), []
     for i, c in enumerate(s):
         out[i] = len(stack)
-        if c == '"':
-            if '"' in stack:
-                del stack[stack.index('"') :]
+        if c in "\"`":
+            if c in stack:
+                del stack[stack.index(c) :]
             else:
-                stack.append('"')
+                stack.append(c)
         elif c == "“" and "„" in stack:
             del stack[len(stack) - 1 - stack[::-1].index("„") :]
         elif c in "“‘«「『（([{【〈《„‚" and not (c == "‘" and i and s[i - 1].isalnum()):

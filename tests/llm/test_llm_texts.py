@@ -19,7 +19,7 @@ def split(text):
 
 @pytest.mark.parametrize(
     ("text", "units"),
-    [("Mr. Bell of the U.S. team left at 3 p.m. today. He ran.", ["Mr. Bell of the U.S. team left at 3 p.m. today.", "He ran."]), ('The log said "not found. Giving up." and stopped. "Is it?" was asked.', ['The log said "not found. Giving up." and stopped.', '"Is it?" was asked.']), ("It costs 3.5 MB, e.g. at night. load_rows() fails.", ["It costs 3.5 MB, e.g. at night.", "load_rows() fails."]), ("Der Bericht liest z. B. die Datei. Am 3. Mai kam er.", ["Der Bericht liest z. B. die Datei.", "Am 3. Mai kam er."]), ("M. Untel a demandé : « Où est-il ? » La version 9.7 suit.", ["M. Untel a demandé : « Où est-il ? »", "La version 9.7 suit."]), ("¡No llame! ¿Por qué?", ["¡No llame!", "¿Por qué?"]), ("他问：“还在吗？”如果没有，就停。日志里写着“放弃。”然后停了……真的吗？！", ["他问：“还在吗？”", "如果没有，就停。", "日志里写着“放弃。”然后停了……", "真的吗？！"]), ("「動いていますか？」と聞かれた。本当ですか？！", ["「動いていますか？」と聞かれた。", "本当ですか？！"]), ("डॉ. अमुक जाँचते हैं। कैश खाली है?", ["डॉ. अमुक जाँचते हैं।", "कैश खाली है?"]), ("لماذا فارغ؟ د. فلان يراجع.", ["لماذا فارغ؟", "د. فلان يراجع."]), ("ไม่มีใครทราบ ทำไมว่าง", ["ไม่มีใครทราบ", "ทำไมว่าง"]), ("«Где кэш?» — спросил он. Узлы и т. д. в одном месте.", ["«Где кэш?» — спросил он.", "Узлы и т. д. в одном месте."]), ("# Title. With dot\nText one\ncontinues. Two.\n\nThree", ["# Title. With dot", "Text one\ncontinues.", "Two.", "Three"]), ("- One. Two\n- Three\n1. Four\nFive", ["- One.", "Two", "- Three", "1. Four", "Five"]), ("A.\n```py\nx = 1. Y\n\nz\n```\nB.", ["A.", "```py\nx = 1. Y\n\nz\n```", "B."]), ("```\nopen. end", ["```\nopen. end"]), ("", []), ("  \n\n ", []), ("no end", ["no end"]), ("(A second one.) The next.", ["(A second one.)", "The next."]), ("Es kam am\n3. Mai an. Gut.", ["Es kam am\n3. Mai an.", "Gut."]), ("One.\u200b Two.", ["One.", "\u200b Two."]), ("Wait... it goes on. Done!  ", ["Wait... it goes on.", "Done!"])],
+    [("Mr. Bell of the U.S. team left at 3 p.m. today. He ran.", ["Mr. Bell of the U.S. team left at 3 p.m. today.", "He ran."]), ('The log said "not found. Giving up." and stopped. "Is it?" was asked.', ['The log said "not found. Giving up." and stopped.', '"Is it?" was asked.']), ("It costs 3.5 MB, e.g. at night. load_rows() fails.", ["It costs 3.5 MB, e.g. at night.", "load_rows() fails."]), ("Der Bericht liest z. B. die Datei. Am 3. Mai kam er.", ["Der Bericht liest z. B. die Datei.", "Am 3. Mai kam er."]), ("M. Untel a demandé : « Où est-il ? » La version 9.7 suit.", ["M. Untel a demandé : « Où est-il ? »", "La version 9.7 suit."]), ("¡No llame! ¿Por qué?", ["¡No llame!", "¿Por qué?"]), ("他问：“还在吗？”如果没有，就停。日志里写着“放弃。”然后停了……真的吗？！", ["他问：“还在吗？”", "如果没有，就停。", "日志里写着“放弃。”然后停了……", "真的吗？！"]), ("「動いていますか？」と聞かれた。本当ですか？！", ["「動いていますか？」と聞かれた。", "本当ですか？！"]), ("डॉ. अमुक जाँचते हैं। कैश खाली है?", ["डॉ. अमुक जाँचते हैं।", "कैश खाली है?"]), ("لماذا فارغ؟ د. فلان يراجع.", ["لماذا فارغ؟", "د. فلان يراجع."]), ("ไม่มีใครทราบ ทำไมว่าง", ["ไม่มีใครทราบ", "ทำไมว่าง"]), ("«Где кэш?» — спросил он. Узлы и т. д. в одном месте.", ["«Где кэш?» — спросил он.", "Узлы и т. д. в одном месте."]), ("# Title. With dot\nText one\ncontinues. Two.\n\nThree", ["# Title. With dot", "Text one\ncontinues.", "Two.", "Three"]), ("- One. Two\n- Three\n1. Four\nFive", ["- One.", "Two", "- Three", "1. Four", "Five"]), ("A.\n```py\nx = 1. Y\n\nz\n```\nB.", ["A.", "```py\nx = 1. Y\n\nz\n```", "B."]), ("```\nopen. end", ["```\nopen. end"]), ("", []), ("  \n\n ", []), ("no end", ["no end"]), ("(A second one.) The next.", ["(A second one.)", "The next."]), ("Es kam am\n3. Mai an. Gut.", ["Es kam am\n3. Mai an.", "Gut."]), ("Run `a. B` first. Then go.", ["Run `a. B` first.", "Then go."]), ("One.\u200b Two.", ["One.", "\u200b Two."]), ("Wait... it goes on. Done!  ", ["Wait... it goes on.", "Done!"])],
 )
 def test_units(text, units):
     assert split(text) == units
