@@ -1,5 +1,8 @@
+import glob
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -43,20 +46,6 @@ def test_sentence_units(spark):
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == {1, 4}
 
 
-def best_change(sizes, capacity):
-    """Sum-of-squares packing written down plainly."""
-    gaps, where = [], []
-    for s in sizes:
-        options = [(sum(sum(1 for g in new if g == v) ** 2 for v in set(new) if 0 < v < capacity), c) for c in range(len(gaps) + 1) for new in [[*gaps[:c], gaps[c] - s, *gaps[c + 1 :]] if c < len(gaps) else [*gaps, capacity - s]] if c == len(gaps) or gaps[c] >= s]
-        cost = min(o[0] for o in options)
-        where.append({gaps[c] if c < len(gaps) else capacity for o, c in options if o == cost})
-        c = next(c for o, c in options if o == cost)
-        if c == len(gaps):
-            gaps.append(capacity)
-        gaps[c] -= s
-        yield cost
-
-
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(1, 10), min_size=1, max_size=25))
 def test_sum_of_squares_takes_the_least(sizes):
@@ -168,6 +157,15 @@ def test_words():
     assert leakage.words("Él <b>dijo</b>: \u201cco\u200bmo\u201d [aquí](http://x.y/z) **don't** &amp; a_b") == ["el", "dijo", "como", "aqui", "dont", "a", "b"]
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, sf, name):
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    ours, theirs = queries.queries()[name](spark, sf).toPandas(), con.execute(queries.oracle_sql()[name]).fetchdf()
+    assert sorted(map(tuple, ours[sorted(ours)].to_numpy().tolist())) == sorted(map(tuple, theirs[sorted(theirs)].to_numpy().tolist()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, sf, name):
     df = queries.queries()[name](spark, sf)
