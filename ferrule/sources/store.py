@@ -65,7 +65,10 @@ def wal_key(repo: Column, op: Column, kwargs: Column) -> Column:
 
 
 class TableStore:
-    """Versioned parquet tables under one folder, partitioned by ``repo_name`` where they have it."""
+    """Versioned parquet tables under one folder, partitioned by ``repo_name`` where they have it.
+
+    ``root`` is a folder that the driver and all executors mount.
+    """
 
     TABLES = {"chunks": schemas.CHUNKS, "nodes": schemas.NODES, "edges": schemas.EDGES}
 

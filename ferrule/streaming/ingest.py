@@ -18,6 +18,12 @@ from pyspark.sql import types as T
 from ferrule.runtime import shared_dir
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def run_ingest(spark: SparkSession, source: str, schema: T.StructType, keys: list[str], target: str, state: str) -> None:
     """Appends to the parquet table ``target`` every row of ``source`` whose keys and content hash it lacks.
 
@@ -28,9 +34,8 @@ def run_ingest(spark: SparkSession, source: str, schema: T.StructType, keys: lis
     stream = stream.where(" and ".join(f"`{k}` is not null" for k in keys))
 
     def add(batch: DataFrame, _: int) -> None:
-        plain = [c for c in batch.columns]
-        rows = batch.withColumn("row_hash", F.sha2(F.to_json(F.struct(*plain)), 256)).dropDuplicates([*keys, "row_hash"])
-        if os.path.exists(target.removeprefix("file://")) or "://" in target and not target.startswith("file://"):
+        rows = batch.withColumn("row_hash", F.sha2(F.to_json(F.struct(*batch.columns)), 256)).dropDuplicates([*keys, "row_hash"])
+        if _exists(spark, target):
             rows = rows.join(spark.read.parquet(target).select(*keys, "row_hash"), [*keys, "row_hash"], "left_anti")
         rows.write.mode("append").parquet(target)
 
