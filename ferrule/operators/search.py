@@ -87,6 +87,39 @@ def vector_topk(queries: DataFrame, rows: DataFrame, query_key: str, row_key: st
     return out.distinct().withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+def score_matrix(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, vector: str, epsilon: float = 1e-8) -> DataFrame:
+    """Every measure of each query of a stated set with each row, query block by query block.
+
+    Result: ``query_id, row_id, cosine, cosine_eps, dot, euclidean`` (a negative distance).
+    Null vectors and pairs of different lengths give no row; a zero vector has no cosine.
+    """
+    spark, out = rows.sparkSession, None
+    qt, rt = queries.schema[query_key].dataType.simpleString(), rows.schema[row_key].dataType.simpleString()
+    src = rows.where(F.col(row_key).isNotNull() & F.col(vector).isNotNull()).select(F.col(row_key).alias("row_id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["row_id"])
+    for ids, vecs in _query_matrix(queries, query_key, vector) or [([], np.zeros((0, 1)))]:
+        held = spark.sparkContext.broadcast((ids, vecs))
+
+        def measure(it: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, vecs = held.value
+            for pdf in it:
+                m = pdf["v"].map(np.asarray)
+                for q, v in zip(ids, vecs, strict=True):
+                    v = np.asarray(v, float)
+                    fit = m[m.map(len) == len(v)]
+                    if not len(fit):
+                        continue
+                    x = np.stack(fit.to_numpy()).astype(float)
+                    dots, below = x @ v, np.linalg.norm(x, axis=1) * np.linalg.norm(v)
+                    cos = np.divide(dots, below, out=np.full(len(x), np.nan), where=below > 0)
+                    frame = pd.DataFrame({"row_id": pdf["row_id"][fit.index], "cosine": pd.Series(cos, dtype=object, index=fit.index).where(~np.isnan(cos), None), "cosine_eps": dots / (below + epsilon), "dot": dots, "euclidean": 0.0 - np.linalg.norm(x - v, axis=1)})
+                    frame.insert(0, "query_id", q)
+                    yield frame
+
+        part = src.mapInPandas(measure, f"query_id {qt}, row_id {rt}, cosine double, cosine_eps double, dot double, euclidean double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def cascade(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, vector: str, dims: int, k: int, candidates: int) -> DataFrame:
     """Candidates by the first ``dims`` values brought to unit length, rescored by the dot product of whole vectors."""
     short = lambda df, key: df.where(F.col(vector).isNotNull()).select(key, vectors.truncated(vector, dims).alias(vector))

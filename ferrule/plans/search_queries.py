@@ -55,17 +55,14 @@ def batch_topk(spark, d):
 
 @add(f"WITH {_V} SELECT a.vec_id AS a_id, v.vec_id AS b_id, round({_COS}, 6) AS cosine, round(list_dot_product(a.x, v.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(v.x, v.x)) + 1e-8), 6) AS cosine_eps, round(list_dot_product(a.x, v.x), 6) AS dot, round(0 - list_distance(a.x, v.x), 6) AS euclidean FROM a, v")
 def metric_compare(spark, d):
-    q = _queries(spark, d).select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
-    # The stated query set against all rows; Spark broadcasts it only while it is small.
-    p = _rows(spark, d).select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b")).crossJoin(q)
-    return p.select("a_id", "b_id", F.round(vectors.cosine("a", "b"), 6).alias("cosine"), F.round(vectors.cosine("a", "b", 1e-8), 6).alias("cosine_eps"), F.round(vectors.dot("a", "b"), 6).alias("dot"), F.round(vectors.similarity("a", "b", "euclidean"), 6).alias("euclidean"))
+    m = search.score_matrix(_queries(spark, d), _rows(spark, d), "vec_id", "vec_id", "embedding")
+    return m.select(F.col("query_id").alias("a_id"), F.col("row_id").alias("b_id"), *(F.round(c, 6).alias(c) for c in ("cosine", "cosine_eps", "dot", "euclidean")))
 
 
 @add(f"WITH {_V} SELECT a.vec_id AS a_id, v.vec_id AS b_id, round({_COS}, 6) AS cosine FROM a JOIN a v ON a.vec_id <= v.vec_id")
 def pairwise_similarity(spark, d):
-    a = _queries(spark, d).select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
-    b = _queries(spark, d).select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
-    return a.join(b, F.col("a_id") <= F.col("b_id")).select("a_id", "b_id", F.round(vectors.cosine("a", "b"), 6).alias("cosine"))
+    m = search.score_matrix(_queries(spark, d), _queries(spark, d), "vec_id", "vec_id", "embedding").where("query_id <= row_id")
+    return m.select(F.col("query_id").alias("a_id"), F.col("row_id").alias("b_id"), F.round("cosine", 6).alias("cosine"))
 
 
 @add(_topk(_COS, "a.vec_id <> v.vec_id AND v.label = 3"))

@@ -37,6 +37,14 @@ def test_topk_is_exact(vecs, metric):
         search.vector_topk(df, df, "i", "i", "v", 5, "x")
 
 
+def test_score_matrix(vecs):
+    m, df = vecs
+    got = {(r["query_id"], r["row_id"]): r for r in search.score_matrix(df.where("i in (0, 50)"), df, "i", "i", "v").collect()}
+    assert len(got) == 600 and got[0, 6]["cosine"] is None and got[0, 0]["euclidean"] == 0
+    assert got[0, 7]["dot"] == pytest.approx(m[0] @ m[7]) and got[0, 7]["cosine"] == pytest.approx(m[0] @ m[7] / np.linalg.norm(m[0]) / np.linalg.norm(m[7]))
+    assert search.score_matrix(df.limit(0), df, "i", "i", "v").count() == 0
+
+
 def test_cascade_and_ann(vecs):
     m, df = vecs
     whole = df.where("size(v) = 8 and i <> 6")
