@@ -130,15 +130,25 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, a
     best = np.full((n, k), -2, np.float32)
     who = np.zeros((n, k), np.int64)
 
-    def offer(rows: slice, sims: np.ndarray, first: int) -> None:
-        hot = np.flatnonzero((sims >= least).any(axis=1))
-        if not len(hot):
+    def offer(start: int, sims: np.ndarray, first: int) -> None:
+        """Takes over what beats a row's present kth best; after the first blocks that is little."""
+        mine = slice(start, start + len(sims))
+        r, c = np.nonzero(sims >= np.maximum(best[mine, -1], np.float32(least - 1e-5))[:, None])
+        if not len(r):
             return
-        sims = sims[hot]
-        take = np.argpartition(-sims, k - 1, axis=1)[:, :k] if sims.shape[1] > k else np.tile(np.arange(sims.shape[1]), (len(hot), 1))
-        at = hot + rows.start
-        score = np.concatenate([best[at], np.take_along_axis(sims, take, 1)], 1)
-        ids = np.concatenate([who[at], take + first], 1)
+        if len(r) > 8 * k * len(sims):
+            take = np.argpartition(-sims, min(k, sims.shape[1]) - 1, axis=1)[:, :k]
+            r, c = np.repeat(np.arange(len(sims)), take.shape[1]), take.ravel()
+        value = sims[r, c]
+        order = np.lexsort((-value, r))
+        r, c, value = r[order], c[order], value[order]
+        hot, begin, count = np.unique(r, return_index=True, return_counts=True)
+        rank = np.arange(len(r)) - np.repeat(begin, count)
+        keep, row = rank < k, np.repeat(np.arange(len(hot)), count)
+        score, ids = np.full((len(hot), k), -2, np.float32), np.zeros((len(hot), k), np.int64)
+        score[row[keep], rank[keep]], ids[row[keep], rank[keep]] = value[keep], c[keep] + first
+        at = hot + start
+        score, ids = np.concatenate([best[at], score], 1), np.concatenate([who[at], ids], 1)
         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
         best[at], who[at] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
@@ -147,9 +157,9 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, a
             sims = vectors[i : i + block] @ vectors[j : j + block].T
             if i == j:
                 np.fill_diagonal(sims, -2)
-            offer(slice(i, i + block), sims, j)
+            offer(i, sims, j)
             if i != j:
-                offer(slice(j, j + block), sims.T, i)
+                offer(j, sims.T, i)
     near = np.abs(best - least) < 1e-5
     if near.any():  # on the border, decide in double precision
         r, c = np.nonzero(near)
@@ -167,7 +177,7 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, a
     return pd.DataFrame({"dir": keys[some], "partners": pd.Series([keys[w[g]].tolist() for w, g in zip(who[some], good, strict=True)], dtype=object), "cosines": pd.Series([b[g].tolist() for b, g in zip(best[some], good, strict=True)], dtype=object)})
 
 
-def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 5, leaf_members: int = 12_288, seed: int = 7) -> DataFrame:
+def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 5, leaf_members: int = 13_000, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other rows of every row.
 
     Result: ``id, neighbor, cosine``, at most ``k`` rows per id, only with a cosine
