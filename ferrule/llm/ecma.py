@@ -1201,13 +1201,23 @@ class Productions:
             self.statement(True)
 
 
-def check(src: str, types: bool) -> str:
-    """'' if the text is a script or module, else what it breaks."""
+def fault_of(tokens: list[Token], types: bool) -> str:
+    """'' if the tokens are a script or module, else what they break."""
     try:
-        tokens, _ = lex(src)
         Productions(tokens, types).program()
         return ""
     except Bad as e:
         return str(e) or "syntax"
     except RecursionError:
         return ""  # nested too deep to tell
+
+
+def check(src: str, types: bool) -> str:
+    """'' if the text is a script or module, else what it breaks."""
+    try:
+        tokens, _ = lex(src)
+    except Bad as e:
+        return str(e) or "lexical"
+    except RecursionError:
+        return ""  # nested too deep to tell
+    return fault_of(tokens, types)

@@ -282,13 +282,15 @@ def lexed_rows(language: str, text: str) -> tuple[str, list[tuple[str, str]], li
             tokens, _ = ecma.lex(text)
         except ecma.Bad as e:
             return str(e) or "lexical", [], []
+        except RecursionError:
+            return "", [], []  # nested too deep to tell
         names = {"n": "NAME", "d": "NUMBER", "s": "STRING", "t": "TEMPLATE", "r": "REGEX", "e": "END"}
         toks = [t.text if t.kind == "p" or t.kind == "n" and t.text in ecma.RESERVED else names[t.kind] for t in tokens]
         if language == "typescript":  # closing angle brackets of types are lexed as shifts
             toks = [">" if t in (">>", ">>>") else t for t in toks]
         # A line break may stand for a semicolon, so only pairs within a line are certain.
         pairs = {(a, b) for a, b, t in zip(toks, toks[1:], tokens[1:], strict=False) if not t.line_before and t.kind != "e"}
-        fault = ecma.check(text, language == "typescript")
+        fault = ecma.fault_of(tokens, language == "typescript")
     return fault, sorted(pairs), [t for t in toks if t in ("(", "[", "{", ")", "]", "}")]
 
 

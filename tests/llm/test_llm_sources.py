@@ -60,6 +60,13 @@ def test_grammar_permits_real_code():
         assert not [p for p in pairs if ("ecma", *p) not in allowed]
 
 
+@pytest.mark.parametrize("src", ["`${" * 20_000, "(" * 20_000, "[" * 20_000 + "]" * 20_000, "a ? " * 20_000, "x" * 1_000_000])
+def test_deep_and_long_texts_do_not_crash(src):
+    for lang in ("javascript", "typescript", "python"):
+        syntax.lexed_rows(lang, src)
+        syntax.confirmed(lang, src)
+
+
 def test_invalid_files(spark):
     rows = [(1, "r", "python", "x = (1\n", 0), (2, "r", "python", "x = 1\n", 0), (3, "r", "javascript", "let x = [1, 2;", 0), (4, "r", "typescript", GOOD_TS, 0), (5, "r", "unknown", "((", 0), (6, "r", "python", None, 0), (7, "s", "python", "", 0), (None, "r", "python", "(", 0), (1, "r", "python", "x = (1\n", 0), (8, "s", "javascript", "f(a, b]", 0), (9, "s", "python", "x = 1\n" * 20_000, 0)]
     df = spark.createDataFrame(rows, "file_id long, repo_name string, language string, content string, reason int")
