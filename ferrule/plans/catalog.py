@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ferrule.operators import context, graph
 from ferrule.plans import answer_queries, chunk_queries, graph_queries, orphan_queries, search_queries, store_queries
 from ferrule.plans import registry as R
+from ferrule.runtime import checkpoint
 from ferrule.streaming import ingest
 
 _CATALOGS = [store_queries.CATALOG, chunk_queries.CATALOG, search_queries.CATALOG, graph_queries.CATALOG, answer_queries.CATALOG]
@@ -16,6 +17,7 @@ _CATALOGS = [store_queries.CATALOG, chunk_queries.CATALOG, search_queries.CATALO
 def flagship(spark: SparkSession, sf_dir: str, every: int = 50) -> DataFrame:
     """Hybrid hits of the golden questions whose id ``every`` divides, one hop of neighbours, interleaved, cut to the budget, as prompts."""
     hits = search_queries.hybrid_hits(spark, sf_dir, every).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), F.lit("hybrid").alias("source"))
+    hits = checkpoint(hits)  # a few rows per question, read three times below
     near = graph.expand_neighbors(hits.select("query_id", "chunk_id"), R.edges(spark, sf_dir), R.live_nodes(spark, sf_dir))
     near = near.select("query_id", "chunk_id", F.lit(0).alias("pos"), F.lit("graph_expand").alias("source"))
     placed = context.interleave(graph.merge_hits(hits, near))

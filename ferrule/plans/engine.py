@@ -112,6 +112,7 @@ class Engine:
         """Prompt and sources of every question: hits, one hop of neighbours, one context within the budget."""
         s, chunks, nodes, edges = self.settings, self.store.read("chunks"), self.store.read("nodes"), self.store.read("edges")
         hits = self.candidates(questions).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), F.lit("hybrid").alias("source"))
+        hits = checkpoint(hits)  # a few rows per question, read three times below
         near = graph.expand_neighbors(hits.select("query_id", "chunk_id"), edges, nodes, s.neighbor_limit)
         near = near.select("query_id", "chunk_id", F.dense_rank().over(Window.partitionBy("query_id").orderBy("chunk_id")).alias("pos"), F.lit("graph_expand").alias("source"))
         placed = context.interleave(graph.merge_hits(hits, near))
