@@ -4,8 +4,10 @@ Files are lexed into rows. Adjacent token pairs are anti-joined with the pairs t
 the grammar permits, which are derived from the productions below by their first and
 last tokens. Brackets are checked by windowed reductions: a running depth per file,
 and at each depth the opener that a closer meets. Statement productions are reduced
-over each file's tokens. A file that any of the three rejects is then confirmed: by
-the compiler of this Python, or by the productions of JavaScript and TypeScript.
+over each file's tokens; those of Python go on through its compiler, which reads every
+file that the compound statements leave standing. A file that any of the three rejects
+is then confirmed: by the compiler of this Python, or by the productions of JavaScript
+and TypeScript.
 """
 
 from __future__ import annotations
@@ -275,7 +277,8 @@ def lexed_rows(language: str, text: str) -> tuple[str, list[tuple[str, str]], li
     """Lexical or production fault, adjacent pairs (distinct), and the brackets in order."""
     if language == "python":
         toks, fault = lex_python(text)
-        fault = fault or python_statements(toks)
+        # Simple statements, calls, parameters, clauses and scopes: no file is valid unread.
+        fault = fault or python_statements(toks) or ("statement" if confirmed(language, text) else "")
         pairs = set(zip(toks, toks[1:], strict=False))
     else:
         try:

@@ -53,6 +53,16 @@ def test_python(src, bad):
     assert suspect is bad, (fault, odd)
 
 
+@pytest.mark.parametrize("src", ["if x = 5:\n    pass\n", 'raise E, "m"\n', "try:\n    x\nexcept E, e:\n    pass\n", "f(a=1, b)\n", "def f(a=1, b):\n    pass\n", "break\n", "f() = 1\n", "def f(a, a):\n    pass\n", "def f():\n    x = 1\n    global x\n", "x = f'{a b}'\n"])
+def test_python_faults_within_statements(src):
+    assert syntax.lexed_rows("python", src)[0]
+
+
+def test_files_with_one_fault_are_found(spark):
+    rows = [(1, "python", 'def f():\n    raise E, "m"\n'), (2, "python", "def f():\n    raise E('m')\n"), (3, "python", "f(a=1, b)\n"), (4, "python", "while x:\n    break\n")]
+    assert {r["file_id"] for r in syntax.invalid_files(spark.createDataFrame(rows, "file_id long, language string, content string")).collect()} == {1, 3}
+
+
 def test_grammar_permits_real_code():
     allowed = set(syntax.permitted_rows())
     for lang, src in (("javascript", GOOD_JS), ("typescript", GOOD_TS)):
