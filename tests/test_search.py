@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import search
+from ferrule.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +58,15 @@ def test_cascade_and_ann(vecs):
     assert {(r["query_id"], r["row_id"]) for r in search.ann_topk(whole.where("i % 50 = 0"), whole, "i", "i", "v", 5, min_rows=1000).collect()} == near
 
 
+def test_registered_ann_equals_exact_search(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").dropDuplicates(["vec_id"])
+    exact = search.vector_topk(rows.where("vec_id % 50 = 0"), rows, "vec_id", "vec_id", "embedding", 5)
+    got = catalog.queries()["ann_topk"](spark, d)
+    key = lambda df: {(r["query_id"], r["row_id"], r["rank"]) for r in df.collect()}
+    assert rows.count() > 256 and key(got) == key(exact)
+
+
 def test_bm25(spark):
     rows = [("a", 1, "red fish blue fish"), ("a", 2, "red"), ("a", 3, ""), ("a", 4, None), ("b", 5, "red fish"), ("a", 2, "red")]
     df = spark.createDataFrame(rows, "repo string, i long, t string")
