@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from ferrule.functions import names
 
 
-def overlap_windows(files: DataFrame, size: int = 3000, stride: int = 2700) -> DataFrame:
+def overlap_windows(files: DataFrame, size: int = 3000, stride: int = 2700, keep: tuple[str, ...] = ()) -> DataFrame:
     """Overlapping windows of each file's content with line numbers and ids.
 
     Result: ``repo_name, file_path, symbol_name, start_char, start_line, end_line, text,
-    chunk_id``. Null and empty contents have no window; the last window may be short.
+    chunk_id``, and the columns of the file named in ``keep``. Null and empty contents
+    have no window; the last window may be short.
     """
     f = files.where(F.length("content") > 0).withColumn("n", F.ceil(F.length("content") / stride).cast("int"))
     # Line breaks are counted once per stride; a window's first line is the sum of the strides before it.
     breaks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: names.newlines(F.substring("content", i * stride + 1, F.lit(stride))))
-    f = f.withColumn("breaks", breaks).select("repo_name", "path", "content", "breaks", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    f = f.withColumn("breaks", breaks).select("repo_name", "path", "content", *keep, "breaks", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     start = F.col("i") * stride
     before = F.aggregate(F.slice("breaks", F.lit(1), F.col("i")), F.lit(0), lambda s, x: s + x)
-    f = f.select("repo_name", F.col("path").alias("file_path"), F.concat(F.lit("chunk_"), F.col("i").cast("string")).alias("symbol_name"), start.alias("start_char"), F.substring("content", start + 1, F.lit(size)).alias("text"), (before + 1).alias("start_line"))
+    f = f.select("repo_name", F.col("path").alias("file_path"), F.concat(F.lit("chunk_"), F.col("i").cast("string")).alias("symbol_name"), start.alias("start_char"), F.substring("content", start + 1, F.lit(size)).alias("text"), (before + 1).alias("start_line"), *keep)
     f = f.withColumn("end_line", F.col("start_line") + names.newlines("text"))
     return f.withColumn("chunk_id", names.chunk_id("repo_name", "file_path", F.lit(None).cast("string"), "symbol_name", F.col("start_char").cast("string")))
 

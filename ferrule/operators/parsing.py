@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators.chunking import overlap_windows
 from ferrule.operators.graph import JAVASCRIPT_BUILTINS, PYTHON_BUILTINS
 
 SCHEMA = "repo_name string, chunk_id string, symbol_name string, chunk_type string, language string, parent_class string, file_path string, start_line long, end_line long, text string, docstring string, calls_out_raw array<string>, imports_raw array<string>, error string"
@@ -161,3 +162,18 @@ def parse_files(files: DataFrame) -> DataFrame:
 
     src = files.where(F.col("language").isin(*PARSERS) & (F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", "") != ""))
     return src.select("repo_name", "path", "content", "language").dropDuplicates(["repo_name", "path"]).mapInPandas(run, SCHEMA)
+
+
+def chunk_files(files: DataFrame, size: int = 3000, stride: int = 2700) -> DataFrame:
+    """``parse_files``, and the overlapping windows of the files of all other languages.
+
+    Windows are chunks of type ``module`` without calls and imports, so no edge starts
+    there; a null language becomes ``unknown``. Only empty and null contents have none;
+    repeated files count once per path.
+    """
+    rest = files.where(F.col("language").isNull() | ~F.col("language").isin(*PARSERS))
+    rest = rest.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("repo_name", "path")), "content", F.coalesce("language", F.lit("unknown")).alias("language"))
+    w = overlap_windows(rest.where(F.length("content") > 0).dropDuplicates(["repo_name", "path"]), size, stride, ("language",))
+    given = {"chunk_type": F.lit("module"), "calls_out_raw": F.array(), "imports_raw": F.array()}
+    columns = [c.split() for c in SCHEMA.split(", ")]
+    return parse_files(files).unionByName(w.select(*(given.get(c, F.col(c) if c in w.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns)))

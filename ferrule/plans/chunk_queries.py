@@ -70,7 +70,7 @@ def js_imports(spark, d):
 
 @add()
 def parse_chunks(spark, d):
-    return parsing.parse_files(R.files(spark, d))
+    return parsing.chunk_files(R.files(spark, d))
 
 
 @add(f"WITH {FS} SELECT language, count(*) AS n_files, sum(length(content) - length(replace(content, chr(10), ''))) AS newlines, sum(length(content))::BIGINT AS n_chars FROM f GROUP BY ALL")

@@ -91,7 +91,7 @@ class Engine:
         todo = checkpoint(todo.dropDuplicates(["key"]))
         n = todo.count()
         if n:
-            parsed = parsing.parse_files(todo).where("error is null").drop("error")
+            parsed = parsing.chunk_files(todo, self.settings.window_chars, self.settings.window_stride).where("error is null").drop("error")
             parsed = parsed.withColumn("vector_768", self.embedder.column(F.col("text")))
             parsed = checkpoint(parsed.withColumn("vector_128", vectors.truncated("vector_768", self.settings.short_dims).cast("array<float>")))
             self.store.add_chunks(parsed)

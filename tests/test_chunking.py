@@ -3,6 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ferrule.operators import chunking, parsing
+from ferrule.plans import catalog, registry
 
 
 def sentences(text, target=150):
@@ -84,3 +85,26 @@ def test_parse_files(spark):
     assert sound["a.js", "K", "m"]["calls_out_raw"] == ["h"] and sound["a.js", None, "f"]["docstring"] == "/** Doc. */"
     assert [r["file_path"] for r in got if r["error"]] == ["bad.py"]
     assert parsing.parse_files(df.limit(0)).count() == 0
+
+
+def test_files_without_a_parser_become_windows(spark):
+    text = "a: 1\n" * 800
+    rows = [("r", "a.py", "def f():\n    pass\n", "python"), ("r", "bad.py", "def (", "python"), ("r", "c.yaml", text, "unknown"), ("r", "c.yaml", text, "unknown"), ("r", "d.rs", "fn x() {}\n", "rust"), (None, "e", "e", None), ("r", "none", None, "unknown"), ("r", "empty", "", "unknown")]
+    df = spark.createDataFrame(rows, "repo_name string, path string, content string, language string")
+    out = parsing.chunk_files(df)
+    assert out.columns == parsing.parse_files(df).columns
+    got = out.collect()
+    assert [r["file_path"] for r in got if r["error"]] == ["bad.py"]
+    windows = {(r["file_path"], r["symbol_name"]): r for r in got if r["chunk_type"] == "module"}
+    assert set(windows) == {("c.yaml", "chunk_0"), ("c.yaml", "chunk_1"), ("d.rs", "chunk_0"), ("e", "chunk_0")} and len(got) == 6
+    w = windows["c.yaml", "chunk_1"]
+    assert w["text"] == text[2700:] and (w["start_line"], w["end_line"]) == (541, 801) and w["chunk_id"] == parsing.make_id("r", "c.yaml", None, "chunk_1", "2700")
+    assert w["calls_out_raw"] == [] and w["imports_raw"] == [] and windows["e", "chunk_0"]["language"] == "unknown" and windows["e", "chunk_0"]["chunk_id"]
+    assert windows["d.rs", "chunk_0"]["language"] == "rust"
+
+
+def test_parse_chunks_reads_every_file(spark):
+    sf = "/root/testdata/sf0.1"  # the smaller tables have no such file
+    names = lambda df, c: {(r["repo_name"], r[c]) for r in df.select("repo_name", c).distinct().collect()}
+    files = registry.files(spark, sf).where("language is null or language not in ('python', 'javascript', 'typescript')").where("length(content) > 0")
+    assert files.count() > 0 and names(files, "path") <= names(catalog.queries()["parse_chunks"](spark, sf), "file_path")

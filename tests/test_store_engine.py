@@ -92,6 +92,16 @@ def test_engine_end_to_end(spark, tmp_path):
     assert e.health()["chunks"] == 1 and e.store.read("edges").count() == 0
 
 
+def test_engine_stores_files_without_a_parser(spark, tmp_path):
+    e = engine.Engine(spark, store.TableStore(spark, str(tmp_path / "t")), store.WriteLog(spark, str(tmp_path / "wal")), Settings(window_chars=40, window_stride=30), engine.HashEmbedder(768))
+    text = "replicas: 3\nimage: registry/worker:7\nport: 8080\nqueue: orders\n"
+    fs = spark.createDataFrame([("r", "deploy.yaml", text, "unknown")], "repo_name string, path string, content string, language string")
+    got = e.index(fs)
+    assert (got["files_processed"], got["total_chunks"]) == (1, 3)
+    assert {r["text"] for r in e.store.read("chunks").collect()} == {text[:40], text[30:70], text[60:]}
+    assert e.store.read("edges").count() == 0 and "worker" in e.answer("Which image has the worker?", "r")["answer"]
+
+
 def test_stream_ingest(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = spark.createDataFrame([(1, "a")], "k int, v string").schema
