@@ -1,9 +1,8 @@
 """Credentials in source and configuration texts, found and masked (problem 7).
 
-Lines that could hold a credential (a credential word, a login in a URL, a known
-key prefix) are cut into lexical tokens, and a linear-chain conditional random
-field labels every token as part of a credential or not from its shape, its
-neighbours and the names before it. The Viterbi path gives the exact characters to
+Every line is cut into lexical tokens, and a linear-chain conditional random field
+labels every token as part of a credential or not from its shape, its neighbours
+and the names before it; a line after an open assignment is read together with it. The Viterbi path gives the exact characters to
 mask. The field is trained here, on lines written from the templates below; no row
 of the data takes part in the fit, and every line of the data is treated alike.
 """
@@ -11,6 +10,7 @@ of the data takes part in the fit, and every line of the data is treated alike.
 from __future__ import annotations
 
 import functools
+import keyword
 import math
 import random
 import re
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +34,7 @@ HARMLESS_WORDS = {"sha", "sha1", "sha256", "sha512", "md5", "crc", "checksum", "
 LOOKUP_WORDS = {"env", "environ", "getenv", "vault", "config", "settings", "process", "secrets", "keyring", "prompt", "getpass", "input"}
 PLACEHOLDER = re.compile(r"^<|>$|example|change_?me|your[-_]|^your|insert|x{4,}|\*{3,}|dummy|placeholder|redacted|sample|^test$|^none$|^null$|^todo$|^todo\b|^password$|^secret$|^token$|^foo|^bar$|^abc|^1234|^\.\.\.|^\$\{|^%\(|^replace", re.I)
 KNOWN_PREFIX = re.compile(r"^(gh[pousr]_|github_pat_|glpat-|AKIA|ASIA|xox[abprs]-|sk_live_|rk_live_|sk-|eyJ|AIza|ya29\.|npm_|pypi-|SG\.|hf_|dop_v1_)")
+# What plain credential lines have; nothing is filtered by it.
 GATE = r"(?i)(passw|passphrase|(^|[^a-z])pass([^a-z]|$)|pwd|[^a-z]pw([^a-z]|$)|secret|token|api_?key|access_?key|key[_0-9]*['\"]?\s*[:=]|auth|credential|bearer|private key|login|://[^/\s:@]*:[^/\s@]+@|gh[pousr]_|github_pat|glpat-|akia[0-9a-z]{12}|asia[0-9a-z]{12}|xox[abprs]-|sk_live_|rk_live_|eyj[0-9a-z_-]{10}|aiza[0-9a-z])"
 GATE_VALUE = r"[\"'`][^\"'`\s]{4,}|[=:]\s*[^\s\"'`(){}\[\],;]{6,}|-----BEGIN|--\w+[ =]\S{4,}|[Bb]asic |[Bb]earer "
 PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
@@ -71,11 +71,11 @@ def kind(token: str) -> str:
         return "punct"
     if re.fullmatch(r"[a-z]+([-_.][a-z]+)*", token) or re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+", token):
         return "word"
-    if re.fullmatch(r"[a-z]+(?:[-_.]?\d{1,4})+", token):
+    if re.fullmatch(r"[a-z]+[-_.]?\d(?:[-_.]?\d)*", token):
         return "wordnum"
     if re.fullmatch(r"[A-Za-z0-9]{8,24}", token) and sum(len(w) < 3 or not re.search("[aeiouy]", w) for w in subwords(token)) >= 2:
         return "odd"
-    if re.fullmatch(r"[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*", token) and not (len(token) >= 10 and re.search(r"\d.*[A-Za-z].*\d|[a-z]\d+[A-Z]|[A-Z]{2}[a-z]+[A-Z]+[a-z]*\d", token)) and entropy(token) < 4.2:
+    if re.fullmatch(r"[A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*", token) and not (len(token) >= 10 and re.search(r"\d[^A-Za-z]*[A-Za-z]\D*\d|[a-z]\d+[A-Z]|[A-Z]{2}[a-z]+[A-Z]+[a-z]*\d", token)) and entropy(token) < 4.2:
         return "ident"
     if len(token) >= 20 and entropy(token) > 3.6:
         return "random"
@@ -224,6 +224,8 @@ cmd = "{W} -u {W} --secret {S} --verbose"
 run("{W} login --token {S}")
 {I} = "postgres://{W}:{S}@{W}.{W}.example/{W}"
 {N} = 'amqp://{W}:{S}@{W}.example/{W}'
+{I} = "mongodb+srv://{W}:{S}@{W}.{W}.example/{W}"
+{N} = 'mongodb+srv://{W}:{S}@{W}.example/{W}'
 DATABASE_URL=mysql://{W}:{S}@{W}.internal/{W}
 url: https://{W}:{S}@{W}.example.com/{W}.git
 const {I} = "redis://{W}:{S}@{W}.example/{W}";
@@ -327,6 +329,17 @@ var {I} = "{L}";
 {I} = """{L}
 {L}
 {I}.token = {I}.{W}(token)
+"""{E}-{D}{D}"""
+/** {E}-{D}{D} */
+ * {E}-{D}
+# {E}-{D}{D}
+{E}-{D}{D}
+{M}
+  {M}
+!function(n){{"use strict";n.{W}=[{D},{D}]}}(window);var a{D}=n.{W};
+{W}.prototype.{W}=function(r,o){{return this._{W}=r||o?r+o:null,this}};
+function {W}{D}(r,o){{var i=r.{W};return i?o(i,{D}):r.{W}||"{W}"}}function {W}{D}(r){{return r}}
+var b{D}=function(r){{for(var o=0;o<r.length;o++)if(r[o]==={D})return!0;return!1}};
 '''.strip("\n").split("\n")
 STEMS = "api_key apikey apiKey API_KEY API_TOKEN api_token auth_token authToken AUTH_TOKEN svc_token access_key accessKey ACCESS_KEY secret_key SECRET_KEY client_secret clientSecret signing_key SIGNING_KEY password PASSWORD passwd PASSWD db_pass DB_PASSWORD db_password smtpPassword SMTP_PASSWORD login_pw pwd PWD_ADMIN admin_pwd tls_key private_key PRIVATE_KEY secret SECRET_TOKEN session_secret webhook_secret refresh_token bearer_token credential passphrase encryption_key root_password master_key".split()
 HARMLESS = "checksum sha256 sha1 md5 digest commit revision etag request_id trace_id content_hash fingerprint uuid file_hash blob_sha integrity build_id public_key_id span_id cursor_id".split()
@@ -360,7 +373,7 @@ def write_lines(n: int, seed: int = 11) -> list[tuple[list[str], list[int]]]:
             name = lambda: r.choice(STEMS) if r.random() < 0.8 else f"{word()}_{r.choice(STEMS)}"
             put = {
                 "S": secret, "B": lambda: f"-----BEGIN {r.choice(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----", "N": name, "D": lambda: str(r.randint(0, 999)), "W": word, "E": lambda: r.choice([r.choice(STEMS), word()]).upper(), "C": lambda: r.choice(HARMLESS), "V": lambda: r.choice([f"{word()}-{r.randint(1, 999)}", f"{word()}_{r.randint(1, 99)}", f"{word()}{r.randint(1, 99)}", word()]),
-                "I": lambda: r.choice([word(), f"{word()}_{word()}", f"{word()}{word().capitalize()}", f"{word().capitalize()}{word().capitalize()}", f"{word()}_{r.choice(['token', 'pass', 'key'])}_{word()}"]), "L": lambda: some(alnum + "+/", r.randint(200, 900)) + r.choice(["", "=", "=="]), "U": lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
+                "I": lambda: r.choice([word(), f"{word()}_{word()}", f"{word()}{word().capitalize()}", f"{word().capitalize()}{word().capitalize()}", f"{word()}_{r.choice(['token', 'pass', 'key'])}_{word()}"]), "L": lambda: some(alnum + "+/", r.randint(200, 900)) + r.choice(["", "=", "=="]), "M": lambda: some(alnum + "+/", r.choice([64, 64, 76])) if r.random() < 0.7 else some(alnum + "+/", r.randint(8, 60)) + "=", "U": lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)),
                 "H": lambda: r.choice([some("0123456789abcdef", r.choice([32, 40, 64])), "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))]), "P": lambda: r.choice(["example", "changeme", "xxxxxxxx", "x" * r.randint(6, 20), "<token>", "your-token-here", "todo", "placeholder", "dummy", "********", "none", "...", "redacted"]),
             }[c]()
             if c in "SB":
@@ -389,7 +402,24 @@ def spans_of(line: str, field: Field) -> list[tuple[int, int]]:
     return [(s, e) for (t, s, e), y in zip(toks, labels, strict=True) if y and kind(t) != "punct"]
 
 
-def scan(text: str, hot: list[int], field: Field, known: dict[str, list[tuple[int, int]]]) -> tuple[list[int], str | None]:
+#: A line that ends with a name and its assignment: a name and a colon alone on the line, a quoted name and a colon, or a name and an equals sign.
+OPEN_ASSIGNMENT = re.compile(r"""(?:(?:^\s*-?\s*([\w$.-]{1,60})|["']([\w$. -]{1,60})["'])\s*:|(?:^|[\s,({\[.])["']?([\w$-]{1,60})["']?\s*(?::\s*[\w\[\]. |]+)?:?(?<![=!<>])=)\s*[(\[]?\s*\\?\s*$""")
+
+
+def open_name(line: str) -> str:
+    """The line if its name waits for a value on the next line, else an empty text."""
+    m = OPEN_ASSIGNMENT.search(line[-200:])
+    name = m and (m[1] or m[2] or m[3])
+    return line if name and not keyword.iskeyword(name) and kind(name) in ("word", "ident", "wordnum", "mixed", "placeholder") else ""
+
+
+def continued(before: str, line: str, field: Field) -> list[tuple[int, int]]:
+    """Characters of a line that belong to credentials, read as the rest of the open line before."""
+    lead = before.rstrip(" \t\\") + " "
+    return [(s - len(lead), e - len(lead)) for s, e in spans_of(lead + line, field) if s >= len(lead)]
+
+
+def scan(text: str, hot: list[int], field: Field, known: dict[tuple[str, str], list[tuple[int, int]]]) -> tuple[list[int], str | None]:
     """Lines (from 1) on which a credential begins, and the text with credentials masked, or None if there are none."""
     lines = text.split("\n")
     out, found, until = None, [], -1
@@ -397,9 +427,10 @@ def scan(text: str, hot: list[int], field: Field, known: dict[str, list[tuple[in
         if i <= until:
             continue
         line = lines[i].rstrip("\r")
-        spans = known.get(line)
+        before = open_name(lines[i - 1].rstrip("\r")) if i else ""
+        spans = known.get((before, line))
         if spans is None:
-            spans = known[line] = spans_of(line, field)
+            spans = known[before, line] = continued(before, line, field) if before else spans_of(line, field)
             if len(known) > 100_000:
                 known.clear()
         if not spans:
@@ -448,20 +479,13 @@ def find_credentials(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     field = df.sparkSession.sparkContext.broadcast(trained())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[tuple[int, int]]] = {}
+        known: dict[tuple[str, str], list[tuple[int, int]]] = {}
         for b in it:
-            keys, texts = b.column(0), b.column(1)
-            parts = pc.split_pattern(texts, "\n")
-            flat = parts.flatten()
-            hot = pc.and_(pc.match_substring_regex(flat, GATE), pc.match_substring_regex(flat, GATE_VALUE)).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
-            rows, at = {"record_key": [], "lines": [], "masked": []}, np.flatnonzero(hot)
-            owner = np.searchsorted(ends, at, side="right")
-            for o in np.unique(owner):
-                first = ends[o - 1] if o else 0
-                lines, masked = scan(texts[int(o)].as_py(), [int(x - first) for x in at[owner == o]], field.value, known)
+            rows = {"record_key": [], "lines": [], "masked": []}
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines, masked = scan(text, [i for i, x in enumerate(text.split("\n")) if x and not x.isspace()], field.value, known)
                 if lines:
-                    rows["record_key"].append(keys[int(o)].as_py())
+                    rows["record_key"].append(key)
                     rows["lines"].append(lines)
                     rows["masked"].append(masked)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("record_key", pa.string()), ("lines", pa.list_(pa.int64())), ("masked", pa.string())]))

@@ -59,6 +59,19 @@ def test_find_credentials(spark):
     assert secrets.find_credentials(spark.createDataFrame([], "id long, t string"), "id", "t").count() == 0
 
 
+def test_every_line_is_read(spark):
+    lines = [f'client = Client("sk-{S}{S}")', f'_x = "hf_{S}{S}"', f'creds = "{S}"', f"signing_key_v2 = '{S}'", f'private_key_b64 = "{S}"', f'x = "npm_{S}{S}"', f'x = "ya29.{S}"', f'x = "dop_v1_{S}"', f'dsn = "{S}"']
+    rows = [(str(i), x) for i, x in enumerate(lines)] + [("after", f'api_key = (\n    "{S}"\n)'), ("yaml", f"a: 1\npassword:\n  {S}\n")]
+    rows += [("digest", 'checksum = (\n    "3932f5e18e2f2be5cc3fa676304650d59576ecd4"\n)'), ("tag", 'def f(x) -> dict:\n    """RIVER-5012"""\n'), ("blob", S * 2 + "AbCdEf0123456789+/A/\n" + "Zm9vYmFy/+9=\n")]
+    got = {r["record_key"]: r for r in secrets.find_credentials(spark.createDataFrame(rows, "id string, t string"), "id", "t").collect()}
+    assert set(got) == {str(i) for i in range(len(lines))} | {"after", "yaml"}
+    assert got["after"]["lines"] == [2] and got["yaml"]["lines"] == [3] and all(S not in r["masked"] for r in got.values())
+
+
+def test_token_shapes_end_on_long_digit_runs():
+    assert secrets.kind("a" + "1" * 60 + "Z!") and secrets.kind("a1-2_3.4567890") == "wordnum" and secrets.kind("a1--2") != "wordnum"
+
+
 def test_held_out_lines():
     lines = [x for x in secrets.write_lines(600, seed=77) if x[0]]
     wrong = sum(secrets.trained().label(secrets.features(t)) != y for t, y in lines)
