@@ -201,13 +201,13 @@ def documented_functions(chunks: DataFrame) -> DataFrame:
     return f.dropDuplicates(["chunk_id"])
 
 
-def documentation_pairs(chunks: DataFrame, max_levels: int = 8) -> DataFrame:
+def documentation_pairs(chunks: DataFrame) -> DataFrame:
     """Functions with the description that documents them.
 
     Result: ``chunk_id, symbol_name, description, origin``, one row per documented
     function; ``origin`` is ``own`` or ``inherited``. Functions that say nothing and
-    inherit nothing within ``max_levels`` levels are dropped. Of repeated rows one
-    counts; a chunk without id is left out; null texts, names or languages document
+    inherit nothing, however far up, are dropped; cycles of classes end. Of repeated
+    rows one counts; a chunk without id is left out; null texts, names or languages document
     nothing or count as empty; where several bases document a method the one with
     the smallest chunk_id gives it. Other columns are not read.
     """
@@ -217,15 +217,19 @@ def documentation_pairs(chunks: DataFrame, max_levels: int = 8) -> DataFrame:
     given = given.groupBy("repo_name", "class", "symbol_name").agg(F.min("doc").alias("doc"))
     parents = checkpoint(class_parents(chunks))
     up = functions.where("description is null and inherit and parent_class is not null").select("chunk_id", "repo_name", "symbol_name", F.col("parent_class").alias("class"))
+    # Each function meets each class once, so the rounds end where no new class is left, cycles included.
+    seen = up.select("chunk_id", "repo_name", "class").distinct()
     found = []
-    for _ in range(max_levels):
+    while True:
         up = up.join(parents, ["repo_name", "class"]).select("chunk_id", "repo_name", "symbol_name", F.col("base").alias("class")).distinct()
+        up = up.join(seen, ["chunk_id", "repo_name", "class"], "left_anti")
         tried = checkpoint(up.join(given, ["repo_name", "class", "symbol_name"], "left"))
         hit = tried.where("doc is not null").groupBy("chunk_id").agg(F.first("symbol_name").alias("symbol_name"), F.min("doc").alias("doc"))
         found.append(hit.select("chunk_id", "symbol_name", F.col("doc.description").alias("description"), F.lit("inherited").alias("origin")))
         up = tried.where("doc is null").drop("doc").join(hit.select("chunk_id"), "chunk_id", "left_anti")
         if up.isEmpty():
             break
+        seen = checkpoint(seen.unionByName(up.select("chunk_id", "repo_name", "class")).join(up.select("chunk_id").distinct(), "chunk_id", "left_semi"))
     for f in found:
         own = own.unionByName(f)
     return own

@@ -89,3 +89,11 @@ def test_inherited_documentation(spark):
     assert got == {("f1", "own"), ("f8", "own"), ("f2", "inherited"), ("f3", "inherited"), ("f4", "inherited")}
     assert docpairs.documentation_pairs(df.limit(0)).count() == 0
     assert docpairs.documentation_pairs(df).select(F.countDistinct("chunk_id")).first()[0] == 5
+
+
+def test_documentation_from_far_up(spark):
+    cols = "chunk_id string, repo_name string, symbol_name string, chunk_type string, language string, parent_class string, text string, docstring string"
+    rows = [(f"k{i}", "r", f"C{i}", "class", "python", None, f"class C{i}(C{i + 1}):", None) for i in range(12)] + [(f"c{i}", "r", f"D{i}", "class", "python", None, f"class D{i}(D{(i + 1) % 10}):", None) for i in range(10)]
+    rows += [("top", "r", "run", "function", "python", "C12", None, SOUND), ("low", "r", "run", "function", "python", "C0", None, None), ("round", "r", "run", "function", "python", "D0", None, None)]
+    got = {(r["chunk_id"], r["origin"]) for r in docpairs.documentation_pairs(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {("top", "own"), ("low", "inherited")}
