@@ -46,7 +46,7 @@ IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
 def head_comment(text: str) -> str:
     """The comments before the first line of code."""
     out, inside = [], False
-    for line in text.split("\n")[:60]:
+    for line in text.split("\n"):
         s = line.strip()
         if inside:
             out.append(s)

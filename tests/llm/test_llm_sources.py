@@ -87,6 +87,12 @@ def test_invalid_files(spark):
     assert syntax.invalid_files(df.limit(0)).count() == 0
 
 
+def test_late_marks_of_head_comments():
+    text = "".join(f"# line {i} of the licence\n" for i in range(200)) + "# Code generated by protoc. DO NOT EDIT.\n\nx = 1\n# after the code\n"
+    head = provenance.head_comment(text)
+    assert provenance.TOOL_MARK.search(head) and "after the code" not in head
+
+
 HAND = "import os\n\n\ndef load(path):\n    with open(path) as f:\n        return f.read()\n\n\ndef save(path, text):\n    if not text:\n        raise ValueError(path)\n    for line in text:\n        print(line, os.sep)\n"
 
 
