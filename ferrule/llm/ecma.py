@@ -1201,23 +1201,27 @@ class Productions:
             self.statement(True)
 
 
-def fault_of(tokens: list[Token], types: bool) -> str:
-    """'' if the tokens are a script or module, else what they break."""
+def fault_of(tokens: list[Token], types: bool, deep: bool = False) -> str:
+    """'' if the tokens are a script or module, else what they break; nesting too deep to tell gives '', or raises if ``deep``."""
     try:
         Productions(tokens, types).program()
         return ""
     except Bad as e:
         return str(e) or "syntax"
     except RecursionError:
+        if deep:
+            raise
         return ""  # nested too deep to tell
 
 
-def check(src: str, types: bool) -> str:
-    """'' if the text is a script or module, else what it breaks."""
+def check(src: str, types: bool, deep: bool = False) -> str:
+    """'' if the text is a script or module, else what it breaks; nesting too deep to tell gives '', or raises if ``deep``."""
     try:
         tokens, _ = lex(src)
     except Bad as e:
         return str(e) or "lexical"
     except RecursionError:
+        if deep:
+            raise
         return ""  # nested too deep to tell
-    return fault_of(tokens, types)
+    return fault_of(tokens, types, deep)

@@ -297,10 +297,13 @@ def lexed_rows(language: str, text: str) -> tuple[str, list[tuple[str, str]], li
     return fault, sorted(pairs), [t for t in toks if t in ("(", "[", "{", ")", "]", "}")]
 
 
-def confirmed(language: str, text: str) -> bool:
-    """Whether the language's own rules reject the text."""
+def confirmed(language: str, text: str) -> bool | None:
+    """Whether the language's own rules reject the text; None if it is nested too deep for them to tell."""
     if language != "python":
-        return bool(ecma.check(text, language == "typescript"))
+        try:
+            return bool(ecma.check(text, language == "typescript", deep=True))
+        except RecursionError:
+            return None
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -309,7 +312,7 @@ def confirmed(language: str, text: str) -> bool:
     except (SyntaxError, ValueError):
         return True
     except (RecursionError, MemoryError):
-        return False
+        return None
 
 
 def invalid_files(files: DataFrame, id_col: str = "file_id", content: str = "content", language: str = "language") -> DataFrame:
@@ -355,7 +358,8 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", content: str = "con
     def confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(5000)
         for b in it:
-            bad = [confirmed(lang, t) for lang, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            # What is too deep to confirm keeps the verdict of the steps that made it a suspect.
+            bad = [confirmed(lang, t) is not False for lang, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             keep = pa.array(bad, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(3).filter(keep)], ["id", "reason"])
 

@@ -87,6 +87,12 @@ def test_invalid_files(spark):
     assert syntax.invalid_files(df.limit(0)).count() == 0
 
 
+def test_deep_and_unbalanced_files_are_found(spark):
+    rows = [(1, "javascript", "x = " + "[" * 20_000), (2, "javascript", "x = " + "[" * 20_000 + "]" * 20_000), (3, "typescript", "f" + "(" * 20_000 + ")" * 19_999)]
+    got = {r["file_id"]: r["reason"] for r in syntax.invalid_files(spark.createDataFrame(rows, "file_id long, language string, content string")).collect()}
+    assert got == {1: "nesting", 3: "nesting"}
+
+
 def test_late_marks_of_head_comments():
     text = "".join(f"# line {i} of the licence\n" for i in range(200)) + "# Code generated by protoc. DO NOT EDIT.\n\nx = 1\n# after the code\n"
     head = provenance.head_comment(text)
