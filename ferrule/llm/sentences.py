@@ -49,6 +49,10 @@ INVISIBLE = " \t\n\r\x0b\x0c\xa0\u2009\u202f\u3000\u200b\u200c\u200d\u2060\ufeff
 WORD_BEFORE = re.compile(r"[^\s\"'“”„«»‘’()\[\]{}（）「」『』,;:!?，、：；]*$")
 
 
+#: Words of a span that cost nothing, and what each further one costs.
+LONG, LOSS = 60, 0.05
+
+
 def depths(s: str) -> list[int]:
     """Open quotations and parentheses before each character; straight double quotes and backticks take turns."""
     out, stack = [0] * (len(s) + 1), []
@@ -71,37 +75,41 @@ def depths(s: str) -> list[int]:
     return out
 
 
+BLANKS = re.compile(rf"[\s{INVISIBLE}]*")
+LEAD_MARKS = re.compile(r"""[\"'“‘«„‚「『（(\[¿¡*_`»]*""")
+EDGES = re.compile("[\u00a0 ]*")
+OPENER = re.compile(r"[\w$]+(?:['’]\w+)?")
+INITIAL = re.compile(r"[^\W\d_]\.")
+LAST_WORD = re.compile(r"(\w+)$")
+
+
 def boundary(s: str, m: re.Match, end: int) -> float | None:
     """How much the closing word before ``m`` and the opening word after ``end`` speak for a boundary; None where there can be none."""
-    t, after = m["t"], s[end:]
-    rest = after.lstrip(INVISIBLE).lstrip()
-    if not rest:
+    t, start = m["t"], BLANKS.match(s, end).end()
+    if start == len(s):
         return 9.0
-    gap = len(after) > len(rest)
-    first = rest[0]
+    gap, first = start > end, s[start]
     wide = bool(WIDE.search(t)) and bool(re.search(r"[。！？｡]", t)) or "…" in t and bool(NO_SPACE.match(first))
     if not gap and not wide and not (NO_SPACE.match(first) and t[-1] in "!?…") and not (first in "“«„「『¿¡" and m["c"]):
         return None
     score = 3.0
-    k = 0
-    while k < len(rest) and rest[k] in "\"'“‘«„‚「『（([¿¡*_`»" and not (k and rest[k].isspace()):
-        k += 1
-    body = rest[k:].lstrip("  ") if k else rest
-    opener = re.match(r"[\w$]+(?:['’]\w+)?", body)
+    k = LEAD_MARKS.match(s, start).end()
+    at = EDGES.match(s, k).end() if k > start else k
+    opener = OPENER.match(s, at)
     word = opener[0] if opener else ""
-    if first in "—–-" and re.match(r"[—–-]+\s", rest) or first in ",;:，、；：。.)）]":
+    if first in "—–-" and re.compile(r"[—–-]+\s").match(s, start) or first in ",;:，、；：。.)）]":
         return -9.0
-    if not body:
+    if at == len(s):
         score -= 1
-    elif CASELESS.match(body):
+    elif CASELESS.match(s, at):
         score += 1
-        if (m["c"] or "…" in t) and k == 0 and body.startswith(CARRY_ON):
+        if (m["c"] or "…" in t) and k == start and s.startswith(CARRY_ON, at):
             score -= 8
-    elif IDENTIFIER.match(body):
+    elif IDENTIFIER.match(s, at):
         score += 0.5
-    elif body[0].islower():
+    elif s[at].islower():
         score -= 9
-    elif body[0].isupper():
+    elif s[at].isupper():
         score += 1
     if "." in t and set(t) <= {"."} and len(t) == 1 and not m["c"].strip("*_`"):
         as_is = WORD_BEFORE.search(s, max(0, m.start() - 40), m.start())[0].lstrip("*_`ـ")
@@ -109,13 +117,13 @@ def boundary(s: str, m: re.Match, end: int) -> float | None:
         chain = re.search(r"(?:\b[^\W\d_]{1,3}\.[  ]?)+[^\W\d_]{1,3}$", s[max(0, m.start() - 12) : m.start()])
         joined = re.sub(r"[\s ]", "", chain[0]).lower() if chain else before
         upper = bool(word) and word[0].isupper()
-        if len(as_is) == 1 and as_is.isalpha() and re.match(r"[^\W\d_]\.", body):  # z. B., A. B.
+        if len(as_is) == 1 and as_is.isalpha() and INITIAL.match(s, at):  # z. B., A. B.
             score -= 9
         elif len(as_is) == 1 and as_is.isupper() and not chain:
             score -= 3 if word.lower() in OPENERS else 9
         elif joined in MAY_END or before in MAY_END and not chain:
-            score -= 0 if upper or IDENTIFIER.match(body) or CASELESS.match(body) else 9
-            if before in ("no", "min", "s", "m", "h") and body[:1].isdigit():
+            score -= 0 if upper or IDENTIFIER.match(s, at) or CASELESS.match(s, at) else 9
+            if before in ("no", "min", "s", "m", "h") and s[at : at + 1].isdigit():
                 score -= 9
             if joined in ("u.s", "u.k", "u.n", "e.u") and word.lower() not in OPENERS:
                 score -= 5
@@ -124,10 +132,14 @@ def boundary(s: str, m: re.Match, end: int) -> float | None:
             if before == "no" and upper:
                 score += 9
         elif re.fullmatch(r"\d{1,4}", before):
-            lead = re.search(r"(\w+)\s+$", s[: m.start() - len(before)])
+            number = m.start() - len(before)
+            gone = number
+            while gone and s[gone - 1].isspace():
+                gone -= 1
+            lead = LAST_WORD.search(s, max(0, gone - 40), gone) if gone < number else None
             if word.lower() in MONTHS or lead and lead[1].lower() in ORDINAL_LEADS and len(before) < 3 and upper and word.lower() not in OPENERS:
                 score -= 9
-            elif s[: m.start()].strip() == before:
+            elif not gone:
                 score -= 9
         elif chain and len(joined) < 8 and "." in joined:
             score -= 3 if word.lower() in OPENERS else 9
@@ -158,15 +170,25 @@ def split_block(s: str) -> list[int]:
         wide = len(NO_SPACE.findall(s, a, b))
         length.append(length[-1] + (wide / 2 if wide else len(s[a:b].split())))
     best, back = [0.0], [0]
+    # Beyond LONG words a span loses the same for every further word, so of all far beginnings with one depth a
+    # single one can be best: the one that leads in best + LOSS * length. It is kept by depth; only near ones are tried.
+    far: dict[int, tuple[float, int]] = {}
+    near = 0
     for j in range(1, len(at)):
-        own, top, arg = cands.get(at[j], 0.0), -1e18, 0
-        for i in range(j - 1, -1, -1):
-            n = length[j] - length[i]
-            span = -0.05 * max(0.0, n - 60) - (0.5 if n < 2 else 0.0) - 4.0 * min(2, abs(deep[at[j]] - deep[at[i]]))
+        own, top, arg, d = cands.get(at[j], 0.0), -1e18, 0, deep[at[j]]
+        while near < j and length[j] - length[near] > LONG:
+            lead, k = best[near] + LOSS * length[near], deep[at[near]]
+            if k not in far or lead >= far[k][0]:
+                far[k] = lead, near
+            near += 1
+        for i in range(j - 1, near - 1, -1):
+            span = -(0.5 if length[j] - length[i] < 2 else 0.0) - 4.0 * min(2, abs(d - deep[at[i]]))
             if best[i] + span > top:
                 top, arg = best[i] + span, i
-            if n > 700:  # a longer span loses to any split of it
-                break
+        for k, (lead, i) in far.items():
+            score = lead - LOSS * (length[j] - LONG) - 4.0 * min(2, abs(d - k))
+            if score > top + 1e-9 or abs(score - top) <= 1e-9 and i > arg:
+                top, arg = score, i
         best.append(top + own)
         back.append(arg)
     out, j = [], len(at) - 1
