@@ -4,14 +4,14 @@ Sum-of-squares packing: an item goes where the sum over all residual gaps of the
 squared number of open containers with that gap becomes smallest, which keeps the
 gaps varied so that later items find one that fits. Every part of the data packs its
 items on its own; containers that stay poorly filled there are opened again and
-packed anew in rounds of ever fewer parts, so that only the last round has a loose
-end. Items of a full capacity, and the full pieces of longer ones, need no packing.
+packed anew with those of other parts, in rounds of as many parts as the items left
+need, until one part holds them all or a round settles next to nothing (items that
+fit with no others stay alone wherever they are). Items of a full capacity, and the full pieces of longer ones, need no packing.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import os
 from collections.abc import Iterator
 
@@ -30,23 +30,38 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@functools.lru_cache(2)
-def encoder(path: str):
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The merge ranks of a vocabulary file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+#: Tokenizers that this process has built, by vocabulary.
+BUILT: dict[str, object] = {}
+
+
+def encoder(path: str, ranks: dict[bytes, int]):
+    """The tokenizer of a vocabulary, built once a process."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if path not in BUILT:
+        BUILT[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return BUILT[path]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``<id_col>, n_tokens`` of each document, once per id; a null text has 0 tokens, null ids are left out."""
+    """``<id_col>, n_tokens`` of each document, once per id; a null text has 0 tokens, null ids are left out.
+
+    The driver reads the vocabulary and broadcasts it, some 50,000 ranks; workers need no such file.
+    """
     path = vocabulary or os.path.join(TOKENIZER_DIR, VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = None
         for b in it:
+            enc = enc or encoder(path, ranks.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"])
 
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -81,15 +96,16 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return where, np.array(gaps, np.int64)
 
 
-def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, part_items: int = 50_000, loose: float = 0.02, shrink: int = 32) -> DataFrame:
+def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, part_items: int = 50_000, loose: float = 0.02, gain: float = 0.1) -> DataFrame:
     """Containers of at most ``capacity`` for items of whole, not negative sizes.
 
     Result: ``<id_col>, piece, start, size, container``; an item within capacity has
     the one piece 0, a longer one is cut into full pieces and a rest, each piece
     covering ``[start, start + size)`` of it. Items of size 0 or null fit anywhere and
     get the container null; negative sizes raise an error. Ids should be distinct; equal sizes are no matter.
-    ``part_items``: items packed together; ``loose``: share of a container that may
-    stay empty before it is packed again in the next round.
+    ``part_items``: items packed together, by one task, in every round; ``loose``: share
+    of a container that may stay empty before it is packed again in the next round;
+    ``gain``: share of its items that a round has to settle for another to follow.
     """
     src = sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("n"))
     src = src.withColumn("n", F.when(F.col("n") < 0, F.raise_error(F.lit("negative size"))).otherwise(F.col("n")))
@@ -100,7 +116,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, part_items
     ready = pieces.where((F.col("size") >= capacity) | (F.col("size") == 0))
     done = ready.select("id", "piece", "start", "size", F.when(F.col("size") > 0, F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("."), F.col("piece").cast("string"))).alias("container"))
     rest = pieces.where((F.col("size") > 0) & (F.col("size") < capacity))
-    parts, level = max(1, -(-rest.count() // part_items)), 0
+    left, level, stuck = rest.count(), 0, False
 
     def filler(name: str, final: bool):
         def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,15 +129,20 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, part_items
         return fill
 
     while True:
-        final = parts == 1
-        out = rest.withColumn("part", F.pmod(F.xxhash64("id", "piece", F.lit(level)), F.lit(parts)))
+        # Parts follow from the items that are left, so none outgrows a task, and each has a task of its own.
+        parts = max(1, -(-left // part_items))
+        final = parts == 1 or stuck
+        out = rest.withColumn("part", F.pmod(F.xxhash64("id", "piece", F.lit(level)), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
         out = out.groupBy("part").applyInPandas(filler(f"p{level}", final), f"id {kind}, piece long, start long, size long, container string")
-        if not final:
-            out = checkpoint(out)
-        done = done.unionByName(out.where("container is not null"))
         if final:
+            return done.unionByName(out).withColumnRenamed("id", id_col)
+        out = checkpoint(out)
+        done = done.unionByName(out.where("container is not null"))
+        rest = out.where("container is null").drop("container")
+        before, left, level = left, rest.count(), level + 1
+        if not left:
             return done.withColumnRenamed("id", id_col)
-        rest, parts, level = out.where("container is null").drop("container"), max(1, parts // shrink), level + 1
+        stuck = left > (1 - gain) * before
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
