@@ -92,99 +92,178 @@ def name_class(words: list[str]) -> str:
     return "credential" if any(w in CREDENTIAL_WORDS for w in words) else "none"
 
 
-def features(tokens: list[str]) -> list[list[int]]:
-    """Hashed shape and context features of each token."""
-    kinds = [kind(t) for t in tokens]
-    out, names, quote, comment, url = [], [], "", False, 0
-    for i, t in enumerate(tokens):
-        before, after = tokens[i - 1] if i else "^", tokens[i + 1] if i + 1 < len(tokens) else "$"
-        two = tokens[i - 2] if i > 1 else "^"
-        last = names[-1] if names else []
-        klass = name_class(last)
-        near = "credential" if any(name_class(n) == "credential" for n in names[-4:]) else name_class([w for n in names[-4:] for w in n])
-        k = kinds[i]
+class Facts:
+    """What a token says by itself."""
+
+    __slots__ = ("bits", "dash", "entropy", "flag", "kind", "klass", "named", "quote", "remark", "short", "size", "stops", "words")
+
+    def __init__(self, t: str) -> None:
+        words = subwords(t)
+        self.kind, self.words = kind(t), tuple(words)
+        self.klass = name_class(words)
+        self.bits = any(w in HARMLESS_WORDS for w in words) | any(w in LOOKUP_WORDS for w in words) << 1 | any(w in CREDENTIAL_WORDS for w in words) << 2
+        self.named = self.kind in ("word", "ident", "wordnum", "mixed", "placeholder") and len(t) > 1 and bool(re.match(r"[-A-Za-z_$]", t))
+        self.flag = next((w for w in words if w in CREDENTIAL_WORDS), "-")
+        self.dash = t.startswith("-")
+        self.size = "s" if len(t) < 4 else "m" if len(t) < 8 else "l" if len(t) < 16 else "x" if len(t) < 200 else "blob"
+        self.entropy = int(entropy(t))
+        self.short = t if len(t) < 3 else ""
+        self.quote = t in ('"', "'", "`", '"""', "'''")
+        self.remark = 2 if t == "#" or t.startswith("//") or t in ("/*", "*") else int(t.startswith("#"))  # 1: only as first token
+        self.stops = t == "@" or bool(re.fullmatch(r"\s|[\"'`]", t))
+
+
+facts = functools.lru_cache(1 << 17)(Facts)
+#: Class of several names together, by the bits of all: harmless 1, look-up 2, credential 4.
+JOINT = ["none", "harmless", "lookup", "harmless", "credential", "harmless+", "lookup", "harmless+"]
+
+
+def contexts(tokens: list[str]) -> Iterator[tuple[tuple, tuple, tuple]]:
+    """Of each token what its features read: its shape among names and quotes, its neighbours, the names before it."""
+    seen = [facts(t) for t in tokens]
+    quote, comment, url, names = "", False, 0, []
+    end, n = "$", len(seen)
+    for i, f in enumerate(seen):
+        prior = seen[i - 1] if i else None
+        before = (prior.short or prior.kind) if prior else "^"
+        after = (seen[i + 1].short or "t") if i + 1 < n else end
+        two = (seen[i - 2].short or seen[i - 2].kind) if i > 1 else "^"
+        last = names[-1] if names else None
+        klass = last.klass if last else "none"
+        near = "none"
+        if names:
+            bits = 0
+            for m in names[-4:]:
+                bits |= m.bits
+                if m.klass == "credential":
+                    near = "credential"
+            if near == "none":
+                near = JOINT[bits]
         login = url == 1 and before == ":" and after == "@"
-        flag = next((w for w in subwords(before) if w in CREDENTIAL_WORDS), "-") if before.startswith("-") or kinds[i - 1 if i else 0] == "word" and quote else "-"
-        size = "s" if len(t) < 4 else "m" if len(t) < 8 else "l" if len(t) < 16 else "x" if len(t) < 200 else "blob"
-        pb = before if len(before) < 3 else kinds[i - 1] if i else "^"
-        pa_ = after if len(after) < 3 else "t"
-        fs = (
-            "b", f"k={k}", f"k={k}|n={klass}", f"k={k}|near={near}", f"k={k}|q={bool(quote)}|c={comment}", f"k={k}|size={size}", f"pb={pb}", f"k={k}|pb={pb}|n={klass}", f"pa={pa_}|pb={pb}", f"login={login}", f"login={login}|k={k}",
-            f"url={url}|k={k}", f"flag={flag}", f"flag={flag}|k={k}", f"w={'.'.join(last[-2:])}", f"w={last[-1] if last else ''}|k={k}", f"two={two if len(two) < 3 else kinds[i - 2] if i > 1 else '^'}|k={k}", f"ent={int(entropy(t))}|n={klass}|size={size}", f"n={klass}|near={near}|k={k}",
-        )
-        out.append([zlib.crc32(f.encode()) % SLOTS for f in fs])
-        if t in ('"', "'", "`", '"""', "'''"):
+        flag = prior.flag if prior and (prior.dash or prior.kind == "word" and quote) else "-"
+        yield (f.kind, klass, near, bool(quote), comment, f.size, login, url, flag, f.entropy), (f.kind, before, klass, after), (f.kind, last.words[-2:] if last else (), two)
+        if f.quote:
+            t = tokens[i]
             quote = "" if quote == t else quote or t
-        elif not quote and (t == "#" or t.startswith("//") or t in ("/*", "*") or t.startswith("#") and i == 0):
+        elif not quote and f.remark and (f.remark == 2 or i == 0):
             comment = True
-        if t == "://":
+        if tokens[i] == "://":
             url = 1
-        elif t == "@" or re.fullmatch(r"\s|[\"'`]", t):
+        elif f.stops:
             url = 0
-        if k in ("word", "ident", "wordnum", "mixed", "placeholder") and len(t) > 1 and re.match(r"[-A-Za-z_$]", t):
-            names.append(subwords(t))
-    return out
+        if f.named:
+            names.append(f)
+
+
+def slots(group: int, key: tuple) -> list[int]:
+    """Hashed features of one of the three contexts of a token."""
+    if group == 0:
+        k, klass, near, quoted, comment, size, login, url, flag, ent = key
+        fs = ("b", f"k={k}", f"k={k}|n={klass}", f"k={k}|near={near}", f"k={k}|q={quoted}|c={comment}", f"k={k}|size={size}", f"login={login}", f"login={login}|k={k}", f"url={url}|k={k}", f"flag={flag}", f"flag={flag}|k={k}", f"ent={ent}|n={klass}|size={size}", f"n={klass}|near={near}|k={k}")
+    elif group == 1:
+        k, before, klass, after = key
+        fs = (f"pb={before}", f"k={k}|pb={before}|n={klass}", f"pa={after}|pb={before}")
+    else:
+        k, last, two = key
+        fs = (f"w={'.'.join(last)}", f"w={last[-1] if last else ''}|k={k}", f"two={two}|k={k}")
+    return [zlib.crc32(f.encode()) % SLOTS for f in fs]
+
+
+def features(tokens: list[str]) -> list[list[int]]:
+    """Hashed shape and context features of each token."""
+    return [[s for g, key in enumerate(keys) for s in slots(g, key)] for keys in contexts(tokens)]
 
 
 class Field:
-    """Weights of the two-label chain: ``emit[slot, label]``, ``move[label, label]``."""
+    """Weights of the two-label chain: ``emit[slot, label]``, ``move[label, label]``.
+
+    By how much a context speaks for label 1 is added up once and kept, so a token costs three look-ups.
+    """
 
     def __init__(self, emit: np.ndarray, move: np.ndarray) -> None:
         self.emit, self.move = emit, move
-
-    def label(self, feats: list[list[int]]) -> list[int]:
-        """The Viterbi path."""
-        score = self.emit[np.array(feats)].sum(1)
-        best, back = score[0], []
-        for s in score[1:]:
-            both = best[:, None] + self.move
-            back.append(both.argmax(0))
-            best = both.max(0) + s
-        path = [int(best.argmax())]
+        self.known: tuple[dict, dict, dict] = ({}, {}, {})
+
+    def __reduce__(self) -> tuple:
+        return Field, (self.emit, self.move)
+
+    def path(self, leads: list[float]) -> list[int]:
+        """The Viterbi path, from the lead of label 1 over label 0 at each token."""
+        (m00, m01), (m10, m11) = self.move.tolist()
+        zero, one, back = 0.0, leads[0], []
+        for d in leads[1:]:
+            from0, from1 = one + m10 > zero + m00, one + m11 > zero + m01
+            back.append((from0, from1))
+            zero, one = one + m10 if from0 else zero + m00, (one + m11 if from1 else zero + m01) + d
+        path = [int(one > zero)]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
         return path[::-1]
 
+    def label(self, feats: list[list[int]]) -> list[int]:
+        """Labels of tokens given by their features."""
+        return self.path([float((self.emit[f, 1] - self.emit[f, 0]).sum()) for f in feats])
+
+    def label_tokens(self, tokens: list[str]) -> list[int]:
+        """Labels of the tokens of a line."""
+        leads = []
+        for keys in contexts(tokens):
+            total = 0.0
+            for g, (key, known) in enumerate(zip(keys, self.known, strict=True)):
+                got = known.get(key)
+                if got is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    at = slots(g, key)
+                    got = known[key] = float((self.emit[at, 1] - self.emit[at, 0]).sum())
+                total += got
+            leads.append(total)
+        return self.path(leads)
+
 
 def train(lines: list[tuple[list[list[int]], list[int]]], rounds: int = 60, rate: float = 0.15, decay: float = 1e-4) -> Field:
-    """Maximum conditional likelihood by Adam over all lines; forward and backward run over padded lines at once."""
-    n, width, per = len(lines), max(len(x) for _, x in lines), len(lines[0][0][0])
-    feats = np.full((n, width, per), SLOTS, np.int32)
-    gold = np.zeros((n, width), np.int64)
-    mask = np.zeros((n, width), bool)
-    for i, (f, y) in enumerate(lines):
-        feats[i, : len(y)], gold[i, : len(y)], mask[i, : len(y)] = f, y, True
-    emit, move = np.zeros((SLOTS + 1, 2)), np.zeros((2, 2))
-    moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-    flat, onehot = feats[mask], np.eye(2)[gold]
+    """Maximum conditional likelihood by Adam over all lines.
+
+    The lines lie longest first and position by position, so that forward and backward
+    take the lines that are still open as one slice. The weights of the two labels mirror
+    each other from zero on; only those of label 1 are kept.
+    """
+    n, lines = len(lines), sorted(lines, key=lambda x: -len(x[1]))
+    width = len(lines[0][1])
+    open_ = [sum(len(y) > t for _, y in lines) for t in range(width)]
+    at = np.concatenate([[0], np.cumsum(open_)])
+    flat = np.array([lines[i][0][t] for t in range(width) for i in range(open_[t])], np.int32)
+    gold = np.array([lines[i][1][t] for t in range(width) for i in range(open_[t])], np.int64)
+    last = np.array([at[len(y) - 1] + i for i, (_, y) in enumerate(lines)])
+    weight, move = np.zeros(SLOTS), np.zeros((2, 2))
+    moments = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(move), np.zeros_like(move)]
+    moved = np.zeros((2, 2))
+    for t in range(1, width):
+        m = open_[t]
+        np.add.at(moved, (gold[at[t - 1] : at[t - 1] + m], gold[at[t] : at[t + 1]]), 1)
     for r in range(1, rounds + 1):
-        s = emit[feats].sum(2) * mask[:, :, None]
-        a, b = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        a[:, 0] = s[:, 0]
+        s = weight[flat].sum(1)
+        s = np.stack([-s, s], 1)
+        a, b = s.copy(), np.zeros_like(s)
         for t in range(1, width):
-            nxt = np.logaddexp(a[:, t - 1, :1] + move[0], a[:, t - 1, 1:] + move[1]) + s[:, t]
-            a[:, t] = np.where(mask[:, t, None], nxt, a[:, t - 1])
+            m, before = open_[t], a[at[t - 1] : at[t - 1] + open_[t]]
+            a[at[t] : at[t + 1]] += np.logaddexp(before[:m, :1] + move[0], before[:m, 1:] + move[1])
+        gm = -moved
+        total = np.logaddexp(a[last, 0], a[last, 1])
         for t in range(width - 2, -1, -1):
-            x = s[:, t + 1] + b[:, t + 1]
-            nxt = np.logaddexp(move[:, 0] + x[:, :1], move[:, 1] + x[:, 1:])
-            b[:, t] = np.where(mask[:, t + 1, None], nxt, b[:, t + 1])
-        total = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-        p = np.exp(a + b - total[:, None, None])
-        g = np.zeros_like(emit)
-        diff = (p - onehot)[mask] / n
-        for j in range(per):
-            for y in (0, 1):
-                g[:, y] += np.bincount(flat[:, j], diff[:, y], SLOTS + 1)
-        pair = a[:, :-1, :, None] + move + (s + b)[:, 1:, None, :] - total[:, None, None, None]
-        live = mask[:, 1:, None, None]
-        gm = ((np.exp(np.where(live, pair, -np.inf)) - onehot[:, :-1, :, None] * onehot[:, 1:, None, :] * live) / n).sum((0, 1))
-        g += decay * emit
-        for w, grad, m, v in ((emit, g, *moments[:2]), (move, gm, *moments[2:])):
+            m = open_[t + 1]
+            x = s[at[t + 1] : at[t + 2]] + b[at[t + 1] : at[t + 2]]
+            mine = slice(at[t], at[t] + m)
+            b[mine] = np.logaddexp(move[:, 0] + x[:, :1], move[:, 1] + x[:, 1:])
+            gm = gm + np.exp(a[mine][:, :, None] + move + x[:, None, :] - total[:m, None, None]).sum(0)
+        each = np.concatenate([np.arange(m) for m in open_])
+        diff = (np.exp(a[:, 1] + b[:, 1] - total[each]) - gold) / n
+        g = np.bincount(flat.ravel(), np.repeat(diff, flat.shape[1]), SLOTS) + decay * weight
+        for w, grad, m, v in ((weight, g, *moments[:2]), (move, gm / n, *moments[2:])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             w -= rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-        emit[SLOTS] = 0
-    return Field(emit[:SLOTS].astype(np.float32), move.astype(np.float32))
+    return Field(np.stack([-weight, weight], 1).astype(np.float32), move)
 
 
 # Templates of training lines. {S} stands for a credential, {H} for a digest or id, {P} for a placeholder, {N} for a
@@ -398,8 +477,8 @@ def spans_of(line: str, field: Field) -> list[tuple[int, int]]:
     toks = [(m[0], m.start(), m.end()) for m in SECRET_TOKEN.finditer(line)]
     if not toks:
         return []
-    labels = field.label(features([t for t, _, _ in toks]))
-    return [(s, e) for (t, s, e), y in zip(toks, labels, strict=True) if y and kind(t) != "punct"]
+    labels = field.label_tokens([t for t, _, _ in toks])
+    return [(s, e) for (t, s, e), y in zip(toks, labels, strict=True) if y and facts(t).kind != "punct"]
 
 
 #: A line that ends with a name and its assignment: a name and a colon alone on the line, a quoted name and a colon, or a name and an equals sign.

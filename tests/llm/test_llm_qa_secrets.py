@@ -78,6 +78,13 @@ def test_held_out_lines():
     assert wrong / len(lines) < 0.03
 
 
+def test_tokens_are_labelled_as_by_their_features():
+    field = secrets.trained()
+    for tokens, _ in secrets.write_lines(300, seed=5):
+        if tokens:
+            assert field.label_tokens(tokens) == field.label(secrets.features(tokens))
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
