@@ -1,10 +1,14 @@
 """Most similar vectors for every vector (problem 1).
 
-A forest of random-projection trees is fitted on a bounded sample. Every vector
-descends all trees at once: one priority queue per vector, shared by the trees,
-holds the open branches ordered by how far the vector lies on their wrong side,
-and its best leaves are the ones searched. Within a leaf all members are compared
-exactly, block by block, and the best partners of all leaves are merged.
+A forest of random-projection trees is fitted on a bounded sample: a node splits at
+the median along the line through two centres that start from two random members.
+Every vector descends all trees at once: one priority queue per vector, shared by the
+trees, holds the open branches ordered by how far the vector lies on their wrong side,
+and its best leaves are the ones searched. Trees that need more levels than the sample
+can fit grow on: each leaf draws a sample of its own and is split again, until leaves
+are as small as wanted. Within a leaf all members are compared exactly, block by
+block; a leaf that is much larger all the same is shared out by pairs of its parts.
+The best partners of all leaves are merged.
 
 Only distinct directions travel: a task sends one vector per direction, however
 many rows share it, so copies of one vector never pile up in a leaf. Vectors
@@ -26,38 +30,46 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows on which the forest is fitted, at most. Every row is indexed.
+#: Rows on which the trees, or the further levels of a leaf, are fitted, at most. Every row is indexed.
 SAMPLE_ROWS = 16_384
-#: Levels whose split planes are fitted node by node; below, a level shares one plane.
+#: Levels that a sample fits: its nodes keep 16 rows or more.
 FITTED_LEVELS = 10
+#: Members that a leaf may have for one task to compare them all; more are shared out by pairs of parts.
+HOT_LEAF = 10_000
+#: Vectors that a search task is sent, on average.
+TASK_VECTORS = 8_000
 
 
 def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per level of the forest, planes and offsets of all its nodes.
 
-    A node's plane is the difference of two of its sample vectors, its offset the
-    median of the sample projected on it. Below ``FITTED_LEVELS`` all nodes of a
-    level and tree share a plane whose offset is the median of the whole sample.
+    A node's plane lies across the line through two centres, which begin as two of its
+    sample vectors and move to the middle of what is nearer to them; its offset is the
+    median of the node's sample along that line.
     """
     rng, levels = np.random.default_rng(seed), []
     groups = [np.arange(len(sample)) for _ in range(trees)]
-    for level in range(depth):
-        shared = level >= FITTED_LEVELS
+    for _ in range(depth):
         planes, offsets, below = [], [], []
-        for rows in [np.arange(len(sample))] * trees if shared else groups:
-            a, b = sample[rng.choice(rows, 2)] if len(rows) > 1 else rng.normal(size=(2, sample.shape[1]))
+        for rows in groups:
+            a, b = sample[rng.choice(rows, 2, replace=False)] if len(rows) > 1 else rng.normal(size=(2, sample.shape[1])).astype(np.float32)
+            mine = sample[rows]
+            for _ in range(4 if len(rows) > 8 else 0):
+                nearer = mine @ (a - b) > (a @ a - b @ b) / 2
+                if nearer.all() or not nearer.any():
+                    break
+                a, b = mine[nearer].mean(0), mine[~nearer].mean(0)
             plane = a - b
             if not np.any(plane):
                 plane = rng.normal(size=sample.shape[1])
             plane = (plane / np.linalg.norm(plane)).astype(np.float32)
-            side = sample[rows] @ plane if len(rows) else np.zeros(1, np.float32)
-            offset = np.float32(np.median(side))
+            side = mine @ plane
+            offset = np.float32(np.median(side)) if len(rows) else np.float32(0)
             planes.append(plane)
             offsets.append(offset)
-            if not shared:
-                below += [rows[side[: len(rows)] < offset], rows[side[: len(rows)] >= offset]]
+            below += [rows[side < offset], rows[side >= offset]]
         levels.append((np.array(planes, np.float32), np.array(offsets, np.float32)))
-        groups = below or groups
+        groups = below
     return levels
 
 
@@ -71,10 +83,9 @@ def best_leaves(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]
     n = len(vectors)
     node = np.tile(np.arange(trees, dtype=np.int64), (n, 1))
     wrong = np.zeros((n, trees), np.float32)
-    for depth, (planes, offsets) in enumerate(levels):
+    for planes, offsets in levels:
         at = vectors @ planes.T - offsets
-        # Ids of nodes count tree by tree from the left; a level that shares its planes has one per tree.
-        margin = np.take_along_axis(at, node if depth < FITTED_LEVELS else node >> depth, 1)
+        margin = np.take_along_axis(at, node, 1)  # ids of nodes count tree by tree from the left
         node = np.stack([2 * node, 2 * node + 1], 2).reshape(n, -1)
         wrong = np.stack([wrong + np.maximum(margin, 0) ** 2, wrong + np.maximum(-margin, 0) ** 2], 2).reshape(n, -1)
         if wrong.shape[1] > 4 * probes:
@@ -120,12 +131,17 @@ def eligible(batch: pa.RecordBatch, dim: int) -> tuple[pa.Array, np.ndarray]:
     return ids.filter(pa.array(sound)), values[sound]
 
 
-def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, at_leaf: tuple[int, np.ndarray] | None = None, block: int = 1024) -> pd.DataFrame:
+def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, parts: tuple[np.ndarray, int, int] | None = None, block: int = 1024) -> pd.DataFrame:
     """For every member of a leaf its ``k`` best other members with a cosine of ``least`` or more.
 
-    ``at_leaf``: this leaf and the leaves of every member; a pair that meets in
-    several leaves is then given in the first of them only.
+    ``parts``: the part of each member, and the two parts that are compared here.
     """
+    if parts and parts[1] != parts[2]:
+        order = np.argsort(parts[0] != parts[1], kind="stable")
+        keys, vectors = keys[order], vectors[order]
+        split = int((parts[0] == parts[1]).sum())
+    else:
+        split = 0
     n = len(keys)
     best = np.full((n, k), -2, np.float32)
     who = np.zeros((n, k), np.int64)
@@ -152,32 +168,86 @@ def leaf_partners(keys: np.ndarray, vectors: np.ndarray, k: int, least: float, a
         order = np.argsort(-score, axis=1, kind="stable")[:, :k]
         best[at], who[at] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
-    for i in range(0, n, block):
-        for j in range(i, n, block):
-            sims = vectors[i : i + block] @ vectors[j : j + block].T
+    for i in range(0, split or n, block):
+        for j in range(split or i, n, block):
+            sims = vectors[i : min(i + block, split or n)] @ vectors[j : j + block].T
             if i == j:
                 np.fill_diagonal(sims, -2)
             offer(i, sims, j)
             if i != j:
                 offer(j, sims.T, i)
+    for i in range(0, n, block):  # the same pair has the same cosine in every leaf, whatever its blocks
+        both = np.einsum("ij,ikj->ik", vectors[i : i + block], vectors[who[i : i + block]])
+        best[i : i + block] = np.where(best[i : i + block] > -2, both, -2)
     near = np.abs(best - least) < 1e-5
     if near.any():  # on the border, decide in double precision
         r, c = np.nonzero(near)
         a, b = vectors[r].astype(np.float64), vectors[who[r, c]].astype(np.float64)
         exact = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
         best[r, c] = np.where(exact >= least - 1e-9, np.maximum(exact, least), -2)
-    if at_leaf:
-        here, leaves = at_leaf
-        for i in range(0, n, block):
-            both = leaves[i : i + block, None, :, None] == leaves[who[i : i + block]][:, :, None, :]
-            first = np.where(both.any(3), leaves[i : i + block, None, :], np.iinfo(np.int64).max).min(2)
-            best[i : i + block][first != here] = -2
     some = np.flatnonzero((best >= least).any(axis=1))
     good = best[some] >= least
     return pd.DataFrame({"dir": keys[some], "partners": pd.Series([keys[w[g]].tolist() for w, g in zip(who[some], good, strict=True)], dtype=object), "cosines": pd.Series([b[g].tolist() for b, g in zip(best[some], good, strict=True)], dtype=object)})
 
 
-def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 5, leaf_members: int = 13_000, seed: int = 7) -> DataFrame:
+BLOCKS = pa.schema([("leaf", pa.int64()), ("dirs", pa.binary()), ("block", pa.binary())])
+
+
+def blocks_of(leaves: np.ndarray, keys: np.ndarray, vectors: np.ndarray, above: int = 0) -> pa.RecordBatch:
+    """The rows of a batch by leaf, each of them in all of its leaves."""
+    out: dict[str, list] = {"leaf": [], "dirs": [], "block": []}
+    for p in np.unique(leaves):
+        at = np.flatnonzero((leaves == p).any(axis=1))
+        out["leaf"].append(above + int(p))
+        out["dirs"].append(keys[at].tobytes())
+        out["block"].append(pack(vectors[at]))
+    return pa.RecordBatch.from_pydict(out, schema=BLOCKS)
+
+
+def read_blocks(dirs: pd.Series, blocks: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of several blocks, each direction once."""
+    keys, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in dirs]), return_index=True)
+    return keys, np.concatenate([unpack(x, dim) for x in blocks])[at]
+
+
+def grow(blocks: DataFrame, dim: int, levels: int, members: float, seed: int) -> DataFrame:
+    """The blocks of ``blocks`` in leaves ``levels`` levels further down; leaves have about ``members`` now.
+
+    Each leaf is fitted anew on a sample of its own, of ``SAMPLE_ROWS`` at most, drawn
+    by the keys of its directions, and its vectors take the leaf that they fall in.
+    """
+    limit = int(min(1.0, SAMPLE_ROWS / members) * 2**32)
+
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for leaf, dirs, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys = np.frombuffer(dirs, np.int64)
+                at = np.flatnonzero(keys.view(np.uint64) >> np.uint64(32) < limit)
+                if len(at):
+                    yield pa.RecordBatch.from_pydict({"leaf": [leaf], "dirs": [keys[at].tobytes()], "block": [pack(unpack(block, dim)[at])]}, schema=BLOCKS)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(pdf["leaf"].iloc[0])
+        fitted = fit_forest(unit(read_blocks(pdf["dirs"], pdf["block"], dim)[1][:SAMPLE_ROWS]), 1, levels, seed + leaf)
+        return pd.DataFrame({"leaf": [leaf], "planes": [np.concatenate([p for p, _ in fitted]).tobytes()], "offsets": [np.concatenate([o for _, o in fitted]).tobytes()]})
+
+    def descend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for leaf, dirs, block, planes, offsets in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys, v = np.frombuffer(dirs, np.int64), unpack(block, dim)
+                if planes is None:  # none of its members was drawn
+                    yield pa.RecordBatch.from_pydict({"leaf": [leaf << levels], "dirs": [dirs], "block": [block]}, schema=BLOCKS)
+                    continue
+                planes, offsets = np.frombuffer(planes, np.float32).reshape(-1, dim), np.frombuffer(offsets, np.float32)
+                fitted = [(planes[2**i - 1 : 2 ** (i + 1) - 1], offsets[2**i - 1 : 2 ** (i + 1) - 1]) for i in range(levels)]
+                yield blocks_of(best_leaves(unit(v), fitted, 1, 1), keys, v, leaf << levels)
+
+    shape = "leaf long, dirs binary, block binary"
+    fitted = blocks.mapInArrow(pick, shape).groupBy("leaf").applyInPandas(fit, "leaf long, planes binary, offsets binary")
+    return blocks.join(fitted, "leaf", "left").select("leaf", "dirs", "block", "planes", "offsets").mapInArrow(descend, shape)
+
+
+def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 4, leaf_members: int = 1_500, seed: int = 7, exact: bool = False) -> DataFrame:
     """The ``k`` most similar other rows of every row.
 
     Result: ``id, neighbor, cosine``, at most ``k`` rows per id, only with a cosine
@@ -186,7 +256,10 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
     of ``df`` are not read. Equal vectors are neighbors of their own with cosine 1;
     ties go to the smaller id among them, and between different directions to an
     arbitrary but fixed one. An empty input gives an empty result. The search is
-    approximate: a true neighbor is missed when no searched leaf holds both.
+    approximate: a true neighbor is missed when no searched leaf holds both; with
+    ``exact`` all pairs of rows are compared instead, in parts of a bounded size.
+    ``leaf_members``: members of a leaf on average, within a factor of 1.42; the depth of
+    the trees follows from it and from the number of rows.
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
@@ -200,30 +273,29 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
             if len(v):
                 yield pa.RecordBatch.from_pydict({"n": [len(v)], "block": [pack(unit(v))]})
 
+    if exact:
+        trees, probes, depth = 1, 1, 0
+    else:
+        depth = max(1, round(math.log2(max(1, rows * probes / (trees * leaf_members)))))
     blocks = picked.mapInArrow(to_bytes, "n long, block binary").collect()  # at most about SAMPLE_ROWS vectors
-    sample = np.concatenate([unpack(bytes(b.block), dim) for b in blocks]) if blocks else np.zeros((0, dim), np.float32)
+    sample = np.concatenate([unpack(bytes(b.block), dim) for b in blocks])[:SAMPLE_ROWS] if blocks else np.zeros((0, dim), np.float32)
     del blocks
-    depth = max(0, math.ceil(math.log2(max(1, rows * probes / (trees * leaf_members)))))
-    if depth == 0:
-        trees = probes = 1
-    levels = fit_forest(sample[:SAMPLE_ROWS], trees, depth, seed) if len(sample) else []
+    first_levels = min(depth, FITTED_LEVELS)
+    levels = fit_forest(sample, trees, first_levels, seed)
     forest = spark.sparkContext.broadcast(levels)
+    # The sample tells which leaves will outgrow a task; these are shared out by pairs of parts.
+    crowd = np.bincount(best_leaves(sample, levels, trees, probes).ravel(), minlength=trees << first_levels) if len(sample) else np.zeros(1)
+    crowd = crowd * (rows / max(1, len(sample)) / 2 ** (depth - first_levels))
+    hot = {int(p): math.ceil(crowd[p] / HOT_LEAF) for p in np.flatnonzero(crowd > 2 * HOT_LEAF)}
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
+        held_keys, held, n = [], [], 0
 
-        def flush(keys: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            leaves = best_leaves(unit(v), forest.value, trees, probes)
-            out: dict[str, list] = {"leaf": [], "dirs": [], "leaves": [], "block": []}
-            for p in np.unique(leaves):
-                at = np.flatnonzero((leaves == p).any(axis=1))
-                out["leaf"].append(int(p))
-                out["dirs"].append(keys[at].tobytes())
-                out["leaves"].append(zstandard.compress(leaves[at].astype(np.int64).tobytes(), 1))
-                out["block"].append(pack(v[at]))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("leaf", pa.int64()), ("dirs", pa.binary()), ("leaves", pa.binary()), ("block", pa.binary())]))
+        def flush() -> pa.RecordBatch:
+            keys, v = np.concatenate(held_keys), np.concatenate(held)
+            return blocks_of(best_leaves(unit(v), forest.value, trees, probes), keys, v)
 
-        held_keys, held, n = [], [], 0
         for b in it:
             _, v = eligible(b, dim)
             keys = direction_keys(v) if len(v) else np.zeros(0, np.int64)
@@ -237,17 +309,35 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
                 held.append(v[first])
                 n += len(first)
             if n >= 12_000:
-                yield from flush(np.concatenate(held_keys), np.concatenate(held))
+                yield flush()
                 held_keys, held, n = [], [], 0
         if n:
-            yield from flush(np.concatenate(held_keys), np.concatenate(held))
+            yield flush()
+
+    def share_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of hot leaves, part by part, once for each pair of parts that the part belongs to."""
+        for b in it:
+            out: dict[str, list] = {"leaf": [], "a": [], "b": [], "dirs": [], "block": []}
+            for leaf, dirs, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m = hot.get(leaf >> (depth - first_levels), 1)
+                keys = np.frombuffer(dirs, np.int64)
+                part = (keys.view(np.uint64) % np.uint64(m)).astype(np.int64)
+                for p in range(m):
+                    at = np.flatnonzero(part == p)
+                    if not len(at):
+                        continue
+                    mine = (dirs, block) if m == 1 else (keys[at].tobytes(), pack(unpack(block, dim)[at]))
+                    for q in range(m):
+                        for name, x in zip(out, (leaf, min(p, q), max(p, q), *mine), strict=True):
+                            out[name].append(x)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("leaf", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("dirs", pa.binary()), ("block", pa.binary())]))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["dirs"]])
-        vectors = np.concatenate([unpack(x, dim) for x in pdf["block"]])
-        leaves = np.concatenate([np.frombuffer(zstandard.decompress(x), np.int64) for x in pdf["leaves"]]).reshape(len(keys), -1)
-        keys, at = np.unique(keys, return_index=True)
-        return leaf_partners(keys, unit(vectors[at]), k, least, (int(pdf["leaf"].iloc[0]), leaves[at]))
+        keys, v = read_blocks(pdf["dirs"], pdf["block"], dim)
+        leaf, a, b = (int(pdf[c].iloc[0]) for c in ("leaf", "a", "b"))
+        m = hot.get(leaf >> (depth - first_levels), 1)
+        part = (keys.view(np.uint64) % np.uint64(m)).astype(np.int64)
+        return leaf_partners(keys, unit(v), k, least, (part, a, b))
 
     def name(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -255,13 +345,24 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
             if len(ids):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(direction_keys(v))], ["id", "dir"])
 
-    found = src.mapInArrow(route, "leaf long, dirs binary, leaves binary, block binary").groupBy("leaf").applyInPandas(search, "dir long, partners array<long>, cosines array<float>")
+    members_of = src.mapInArrow(route, "leaf long, dirs binary, block binary")
+    deep, members = depth - first_levels, rows * probes / (trees << first_levels)
+    while deep > 0:  # levels that the first sample could not fit
+        step = min(deep, FITTED_LEVELS)
+        members_of = grow(members_of, dim, step, members, seed)
+        deep, members = deep - step, members / 2**step
+    if hot:
+        members_of = members_of.mapInArrow(share_out, "leaf long, a long, b long, dirs binary, block binary")
+    else:
+        members_of = members_of.select("leaf", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "dirs", "block")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * probes / TASK_VECTORS))
+    found = members_of.repartition(tasks, "leaf", "a", "b").groupBy("leaf", "a", "b").applyInPandas(search, "dir long, partners array<long>, cosines array<float>")
     members = src.mapInArrow(name, "id string, dir long").distinct()
     # Of each direction the k + 1 smallest ids are enough to give any row its k equal neighbors.
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("dir").orderBy("id"))).where(F.col("r") <= k + 1)
     first = first.groupBy("dir").agg(F.sort_array(F.collect_list("id")).alias("own"))
     merged = found.groupBy("dir").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("cosines", lambda c: -c).alias("far"), F.col("partners").alias("to")))).alias("all"))
-    merged = merged.select("dir", F.explode(F.slice(F.array_sort("all"), 1, k)).alias("x")).select("dir", F.col("x.far").alias("far"), F.col("x.to").alias("to"))
+    merged = merged.select("dir", F.explode(F.slice(F.array_sort(F.array_distinct("all")), 1, k)).alias("x")).select("dir", F.col("x.far").alias("far"), F.col("x.to").alias("to"))
     others = merged.join(first.select(F.col("dir").alias("to"), F.col("own").alias("theirs")), "to")
     others = others.groupBy("dir").agg(F.array_sort(F.flatten(F.collect_list(F.transform("theirs", lambda i: F.struct(F.col("far"), i.alias("id")))))).alias("near"))
     reach = first.join(others, "dir", "left").select("dir", "own", F.slice(F.coalesce("near", F.array().cast("array<struct<far:float,id:string>>")), 1, k).alias("near"))

@@ -35,6 +35,17 @@ def test_recall(clusters, leaf):
     assert len(got - want) <= 0.1 * len(got)
 
 
+@pytest.mark.parametrize(("fitted", "hot", "exact"), [(1, 10_000, False), (10, 40, False), (1, 30, False), (10, 100, True)])
+def test_deep_trees_and_hot_leaves(clusters, monkeypatch, fitted, hot, exact):
+    monkeypatch.setattr(neighbors, "FITTED_LEVELS", fitted)
+    monkeypatch.setattr(neighbors, "HOT_LEAF", hot)
+    m, df = clusters
+    rows = [(r["id"], r["neighbor"]) for r in neighbors.nearest_neighbors(df, "id", "v", DIM, 5, 0.5, leaf_members=150, exact=exact).collect()]
+    want = brute(m, 5, 0.5)
+    assert len(rows) == len(set(rows)) and len(set(rows) & want) / len(want) >= (0.999 if exact else 0.95)
+    assert len(set(rows) - want) <= 0.05 * len(rows)
+
+
 def test_copies_are_neighbors(spark):
     rows = [(f"a{i}", [1.0, 2.0, 3.0, 4.0]) for i in range(9)] + [("b", [4.0, -3.0, 2.0, -1.0]), ("c", [4.0, -3.0, 2.0, -1.1])]
     df = spark.createDataFrame(rows, "id string, v array<float>")
