@@ -38,6 +38,34 @@ def test_units_cover_the_text(text):
         assert not text[ends[-1] :].strip()
 
 
+def test_long_sentences_stay_whole():
+    for n in (602, 1202, 6002):
+        assert len(split("It said " + "and so on. and " * (n // 4) + "then it ended.")) == 1
+    assert len(split("It began. " + "One two three. " * 3000 + "and so. " * 3000)) == 3001
+
+
+def test_spans_are_the_best(monkeypatch):
+    r = random.Random(3)
+    monkeypatch.setattr(sentences, "LONG", 6)
+    monkeypatch.setattr(sentences, "LOSS", 0.8)
+    for _ in range(40):
+        text = "".join(r.choice(["so we go. ", "Then he ran. ", "(One. ", "two.) ", '"Go. ', 'on." ', "one two three four ", "Dr. "]) for _ in range(14)).strip()
+        cands = {}
+        for m in sentences.TERMINATOR.finditer(text):
+            if (v := sentences.boundary(text, m, m.end())) is not None and m.end() < len(text) and text[m.end() :].strip():
+                cands[m.end()] = v
+        at, deep = [0, *sorted(cands), len(text)], sentences.depths(text)
+        best = [0.0]
+        for j in range(1, len(at)):
+            n = [len(text[at[i] : at[j]].split()) for i in range(j)]
+            best.append(cands.get(at[j], 0.0) + max(best[i] - 0.8 * max(0, n[i] - 6) - (0.5 if n[i] < 2 else 0) - 4 * min(2, abs(deep[at[j]] - deep[at[i]])) for i in range(j)))
+        got, ends = 0.0, [0, *sentences.split_block(text)]
+        for a, b in zip(ends, ends[1:], strict=False):
+            n = len(text[a:b].split())
+            got += cands.get(b, 0.0) - 0.8 * max(0, n - 6) - (0.5 if n < 2 else 0) - 4 * min(2, abs(deep[a] - deep[b]))
+        assert got == pytest.approx(best[-1])
+
+
 def test_sentence_units(spark):
     rows = [(1, "One. Two.", 0), (1, "One. Two.", 0), (2, None, 0), (3, "", 0), (None, "X.", 0), (4, "A long one. " * 5000, 0)]
     got = sentences.sentence_units(spark.createDataFrame(rows, "doc_id long, text string, unit int"))
@@ -89,6 +117,12 @@ def test_pack(spark, part):
     assert packing.pack(df.limit(0), "doc_id", "n", 2048).count() == 0
 
 
+def test_no_part_outgrows_a_task(spark):
+    got = packing.pack(spark.range(3200).withColumn("n", F.lit(1100)), "id", "n", 2048, part_items=100)
+    part = got.groupBy(F.regexp_extract("container", r"^(p\d+\.\d+)\.", 1)).count()
+    assert got.select("container").distinct().count() == 3200 and part.agg(F.max("count")).first()[0] < 200
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (None, "x"), (4, "<|endoftext|>")], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df).collect()}
@@ -117,6 +151,32 @@ def corpus():
     return docs, items
 
 
+def test_cells_find_what_is_close():
+    r = np.random.default_rng(1)
+    v = np.repeat(r.normal(size=(40, 24)), 20, axis=0) + 0.4 * r.normal(size=(800, 24))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    cells, p = leakage.Cells(v, np.arange(800), 0.2), v[::3]
+    want = set(zip(*np.nonzero(p @ v.T >= 0.65), strict=True))
+    got = set(zip(*cells.near(p, 0.65), strict=True))
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_sums_travel_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SLICE_BYTES", 64)
+    rows = [leakage.slices(np.full((7, 3), float(i)), i % 3).to_pydict() for i in range(5)]
+    df = spark.createDataFrame([x for r in rows for x in zip(*r.values(), strict=True)], "part long, slice long, data binary")
+    assert leakage.summed(df).tolist() == [10.0] * 21 and leakage.summed(df.limit(0)) is None
+
+
+def test_blocks_of_items(spark, corpus, monkeypatch):
+    docs, items = corpus
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(df, it).where("kind = 'run'").collect()}
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1500)
+    assert len(list(leakage.item_blocks(it.withColumn("answer", F.lit(None).cast("string"))))) > 2
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_passages(df, it).where("kind = 'run'").collect()} == want
+
+
 def test_leaks_against_brute_force(spark, corpus):
     docs, items = corpus
     want = set()
