@@ -5,8 +5,9 @@ docstring or ``/** */`` comment in its text. Comment marks, tags and parameter
 and return lists are taken off, and what is left must say something. A method
 that says nothing itself, or refers to its parent with an inherit tag, takes the
 documentation of the nearest class above it that documents a method of that name:
-class headers are parsed into child-parent rows, and each round joins the methods
-that are still open with them, one level up. What stays unresolved is dropped.
+class headers are parsed into child-parent rows, whose bases are found by file and
+import statements, and each round joins the methods that are still open with them,
+one level up. What stays unresolved is dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.runtime import checkpoint
@@ -185,19 +186,54 @@ PY_BASES = r"(?m)^[ \t]*class\s+\w+\s*\(([^)]*)\)"
 JS_BASES = r"(?m)\bclass\s+\w+(?:<[^>{]*>)?\s+extends\s+([\w$.]+)"
 
 
+def in_files(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with a column ``file``; without paths all of a repository counts as one file."""
+    return chunks.withColumn("file", F.coalesce(F.col("file_path"), F.lit("")) if "file_path" in chunks.columns else F.lit(""))
+
+
+def stem_of(path: Column) -> Column:
+    """The name by which a file is imported: its own without ending, or that of the directory it stands for."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), r"/(__init__|index)$", "")
+    return F.regexp_extract(bare, r"([^/]*)$", 1)
+
+
 def class_parents(chunks: DataFrame) -> DataFrame:
-    """Rows ``repo_name, class, base`` from the headers of class chunks; the last segment of dotted bases counts."""
+    """Rows ``repo_name, file, class, base_file, base`` from the headers of class chunks.
+
+    The last segment of a dotted base names a class of the same file, else one of a file
+    that an import statement with this name points to, else the only class of that name in
+    the repository. A base that none of these tells is left open.
+    """
+    chunks = in_files(chunks)
     c = chunks.where("chunk_type = 'class' and text is not null and symbol_name is not null")
     bases = F.concat(F.split(F.regexp_extract("text", PY_BASES, 1), ","), F.array(F.regexp_extract("text", JS_BASES, 1)))
-    c = c.select("repo_name", F.col("symbol_name").alias("class"), F.explode(bases).alias("base"))
-    c = c.select("repo_name", "class", F.regexp_extract(F.trim("base"), r"^[\w$.]*?([\w$]+)$", 1).alias("base"))
-    return c.where("base <> '' and base <> class").distinct()
+    heads = c.select("repo_name", "file", F.col("symbol_name").alias("class"), F.explode(bases).alias("base"))
+    heads = heads.select("repo_name", "file", "class", F.trim("base").alias("full"), F.regexp_extract(F.trim("base"), r"^[\w$.]*?([\w$]+)$", 1).alias("base")).where("base <> ''").distinct()
+    known = c.select("repo_name", "file", F.col("symbol_name").alias("class"))
+    known = known.unionByName(chunks.where("parent_class is not null").select("repo_name", "file", F.col("parent_class").alias("class"))).distinct()
+    targets = known.select("repo_name", F.col("file").alias("base_file"), F.col("class").alias("base"))
+    same = heads.join(targets.withColumn("file", F.col("base_file")), ["repo_name", "file", "base"]).where("base <> class").withColumn("rank", F.lit(0))
+    only = targets.groupBy("repo_name", "base").agg(F.count("*").alias("n"), F.min("base_file").alias("base_file")).where("n = 1")
+    only = heads.join(only, ["repo_name", "base"]).where("base_file <> file or base <> class").withColumn("rank", F.lit(2))
+    found = same.unionByName(only.drop("n"))
+    if "imports_raw" in chunks.columns:
+        said = chunks.select("repo_name", "file", F.explode("imports_raw").alias("line")).where("line is not null").distinct()
+        module = F.coalesce(F.nullif(F.regexp_extract("line", r"(?:from|require\()\s*['\"]([^'\"]+)['\"]", 1), F.lit("")), F.regexp_extract("line", r"^\s*(?:from|import)\s+([\w.]+)", 1))
+        stem = stem_of(F.regexp_replace(F.regexp_replace(module, r"\.(m?[jt]sx?)$", ""), r"(?<=\w)\.(?=\w)", "/"))
+        said = said.select("repo_name", "file", stem.alias("stem"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([\w$]+)"), 1))).alias("word")).distinct()
+        # The name itself is imported, or the module that it is dotted to.
+        named = heads.withColumn("word", F.explode(F.array_distinct(F.array("base", F.regexp_extract("full", r"^([\w$]+)", 1)))))
+        named = named.join(said, ["repo_name", "file", "word"]).drop("word").distinct()
+        named = named.join(targets.withColumn("stem", stem_of(F.col("base_file"))), ["repo_name", "base", "stem"]).where("base_file <> file").withColumn("rank", F.lit(1))
+        found = found.unionByName(named.drop("stem"))
+    best = found.groupBy("repo_name", "file", "class", "full").agg(F.min(F.struct("rank", "base_file", "base")).alias("x"))
+    return best.select("repo_name", "file", "class", "x.base_file", "x.base").distinct()
 
 
 def documented_functions(chunks: DataFrame) -> DataFrame:
     """Every function chunk once, with what its own documentation says (null: nothing) and whether it may inherit."""
-    f = chunks.where("chunk_type = 'function' and chunk_id is not null").select("chunk_id", "repo_name", "symbol_name", "parent_class", F.pandas_udf(document, "description string, inherit boolean")("docstring", "text", "symbol_name", "language").alias("d"))
-    f = f.select("chunk_id", "repo_name", "symbol_name", "parent_class", F.col("d.description").alias("description"), F.col("d.inherit").alias("inherit"))
+    f = in_files(chunks).where("chunk_type = 'function' and chunk_id is not null").select("chunk_id", "repo_name", "file", "symbol_name", "parent_class", F.pandas_udf(document, "description string, inherit boolean")("docstring", "text", "symbol_name", "language").alias("d"))
+    f = f.select("chunk_id", "repo_name", "file", "symbol_name", "parent_class", F.col("d.description").alias("description"), F.col("d.inherit").alias("inherit"))
     return f.dropDuplicates(["chunk_id"])
 
 
@@ -213,23 +249,23 @@ def documentation_pairs(chunks: DataFrame) -> DataFrame:
     """
     functions = checkpoint(documented_functions(chunks))
     own = functions.where("description is not null").select("chunk_id", "symbol_name", "description", F.lit("own").alias("origin"))
-    given = functions.where("description is not null and parent_class is not null").select("repo_name", F.col("parent_class").alias("class"), "symbol_name", F.struct("chunk_id", "description").alias("doc"))
-    given = given.groupBy("repo_name", "class", "symbol_name").agg(F.min("doc").alias("doc"))
+    given = functions.where("description is not null and parent_class is not null").select("repo_name", "file", F.col("parent_class").alias("class"), "symbol_name", F.struct("chunk_id", "description").alias("doc"))
+    given = given.groupBy("repo_name", "file", "class", "symbol_name").agg(F.min("doc").alias("doc"))
     parents = checkpoint(class_parents(chunks))
-    up = functions.where("description is null and inherit and parent_class is not null").select("chunk_id", "repo_name", "symbol_name", F.col("parent_class").alias("class"))
+    up = functions.where("description is null and inherit and parent_class is not null").select("chunk_id", "repo_name", "symbol_name", "file", F.col("parent_class").alias("class"))
     # Each function meets each class once, so the rounds end where no new class is left, cycles included.
-    seen = up.select("chunk_id", "repo_name", "class").distinct()
+    seen = up.select("chunk_id", "file", "class").distinct()
     found = []
     while True:
-        up = up.join(parents, ["repo_name", "class"]).select("chunk_id", "repo_name", "symbol_name", F.col("base").alias("class")).distinct()
-        up = up.join(seen, ["chunk_id", "repo_name", "class"], "left_anti")
-        tried = checkpoint(up.join(given, ["repo_name", "class", "symbol_name"], "left"))
+        up = up.join(parents, ["repo_name", "file", "class"]).select("chunk_id", "repo_name", "symbol_name", F.col("base_file").alias("file"), F.col("base").alias("class")).distinct()
+        up = up.join(seen, ["chunk_id", "file", "class"], "left_anti")
+        tried = checkpoint(up.join(given, ["repo_name", "file", "class", "symbol_name"], "left"))
         hit = tried.where("doc is not null").groupBy("chunk_id").agg(F.first("symbol_name").alias("symbol_name"), F.min("doc").alias("doc"))
         found.append(hit.select("chunk_id", "symbol_name", F.col("doc.description").alias("description"), F.lit("inherited").alias("origin")))
         up = tried.where("doc is null").drop("doc").join(hit.select("chunk_id"), "chunk_id", "left_anti")
         if up.isEmpty():
             break
-        seen = checkpoint(seen.unionByName(up.select("chunk_id", "repo_name", "class")).join(up.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+        seen = checkpoint(seen.unionByName(up.select("chunk_id", "file", "class")).join(up.select("chunk_id").distinct(), "chunk_id", "left_semi"))
     for f in found:
         own = own.unionByName(f)
     return own

@@ -108,3 +108,22 @@ def test_documentation_from_far_up(spark):
     rows += [("top", "r", "run", "function", "python", "C12", None, SOUND), ("low", "r", "run", "function", "python", "C0", None, None), ("round", "r", "run", "function", "python", "D0", None, None)]
     got = {(r["chunk_id"], r["origin"]) for r in docpairs.documentation_pairs(spark.createDataFrame(rows, cols)).collect()}
     assert got == {("top", "own"), ("low", "inherited")}
+
+
+def test_bases_are_found_by_file_and_import(spark):
+    cols = "chunk_id string, repo_name string, file_path string, symbol_name string, chunk_type string, language string, parent_class string, text string, docstring string, imports_raw array<string>"
+
+    def klass(file, name, bases):
+        return (f"{file}:{name}", "r", file, name, "class", "python", None, f"class {name}({bases}):" if bases else f"class {name}:", None, [])
+
+    def method(file, name, doc):
+        return (f"{file}:{name}.run", "r", file, "run", "function", "python", name, "def run(self):\n    pass", doc, [])
+
+    rows = [klass("a.py", "Base", ""), method("a.py", "Base", "Reads the rows of one ledger."), klass("a.py", "Leaf", "Base"), method("a.py", "Leaf", None)]
+    rows += [klass("b.py", "Leaf", ""), method("b.py", "Leaf", None)]  # no base: another Leaf's is none of its own
+    rows += [klass("pkg/c.py", "Base", ""), method("pkg/c.py", "Base", "Writes the rows of one ledger.")]
+    rows += [klass("d.py", "Node", "Base"), method("d.py", "Node", None), ("d.py:module", "r", "d.py", "module", "module", "python", None, "", None, ["from pkg.c import Base"])]
+    rows += [klass("e.py", "Edge", "Base"), method("e.py", "Edge", None)]  # nothing tells which Base
+    rows += [klass("f.py", "Last", "x.Only"), method("f.py", "Last", None), klass("g.py", "Only", "c.Base"), method("g.py", "Only", None), ("g.py:module", "r", "g.py", "module", "module", "python", None, "", None, ["import pkg.c as c", None])]
+    got = {(r["chunk_id"], r["description"][:6]) for r in docpairs.documentation_pairs(spark.createDataFrame(rows, cols)).where("origin = 'inherited'").collect()}
+    assert got == {("a.py:Leaf.run", "Reads "), ("d.py:Node.run", "Writes"), ("g.py:Only.run", "Writes"), ("f.py:Last.run", "Writes")}
