@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,11 +62,27 @@ def head_comment(text: str) -> str:
     return "\n".join(out)
 
 
-def evidence(path: str, text: str) -> list[float]:
-    """Log-likelihoods of the labels from a file's name and content, up to a constant."""
+def evidence(path: str, text: str, source: bool = True) -> list[float]:
+    """Log-likelihoods of the labels from a file's name and content, up to a constant; what is no ``source`` is judged by its name and head."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     hand = generated = minified = vendored = blob = 0.0
     head, name = head_comment(text), path.rsplit("/", 1)[-1]
+    vendored -= 1.2  # such files seldom lack every mark
+    generated -= 3.0
+    minified -= 7.0
+    blob -= 7.0
+    if TOOL_MARK.search(head):
+        generated += 11.0
+    if TOOL_NAME.search(name):
+        generated += 8.0
+    if UPSTREAM_MARK.search(head):
+        vendored += 9.0
+    if LICENSE_MARK.search(head):
+        vendored += 2.0
+    if MIN_NAME.search(name):
+        minified += 5.0
+    if not source:
+        return [hand, generated, minified, vendored, blob]
     body = COMMENT.sub("", text)
     bare = STRING.sub('""', body)
     dense = max(1, len(re.sub(r"\s", "", body)))
@@ -75,23 +92,11 @@ def evidence(path: str, text: str) -> list[float]:
     blanks = len(re.findall(r"\s", body)) / max(1, len(body))
     shapes = [re.sub(r"\d+", "0", IDENTIFIER.sub("w", STRING.sub('""', x.strip()))) for x in body.split("\n") if x.strip()]
     variety = len(set(shapes)) / max(1, len(shapes))
-    vendored -= 1.2  # such files seldom lack every mark
-    generated -= 3.0
-    minified -= 7.0
-    blob -= 7.0
-    if TOOL_MARK.search(head):
-        generated += 11.0
-    if TOOL_NAME.search(name):
-        generated += 8.0
     if len(shapes) >= 8 and code >= 0.06:
         generated += 9.0 if variety < 0.2 else 5.0 if variety < 0.28 else -0.5
         hand += 0.5 if variety > 0.4 else 0.0
     if re.search(r"__awaiter|__importDefault|_serialized_start|_descriptor_pool|descriptor_pool|__typename|_lr_action|\bparser_tables\b", text):
         generated += 8.0
-    if UPSTREAM_MARK.search(head):
-        vendored += 9.0
-    if LICENSE_MARK.search(head):
-        vendored += 2.0
     if len(body) > 200 and code >= 0.06:
         if long_share > 0.5 and blanks < 0.14:
             minified += 17.0
@@ -99,8 +104,6 @@ def evidence(path: str, text: str) -> list[float]:
             minified += 14.0
         elif long_share > 0.5:
             minified += 3.0
-    if MIN_NAME.search(name):
-        minified += 5.0
     if len(body) > 250 and code < 0.06:
         blob += 17.0
     elif len(body) > 2000 and code < 0.12:
@@ -130,39 +133,47 @@ FILE_IN_DIR = [[math.log(p) for p in row] for row in ([0.955, 0.10, 0.15, 0.01,
 DIR_IN_DIR = [[math.log(p) for p in row] for row in ([0.964, 0.08, 0.08, 0.01, 0.08], [0.010, 0.89, 0.01, 0.005, 0.01], [0.008, 0.01, 0.89, 0.005, 0.01], [0.010, 0.01, 0.01, 0.975, 0.01], [0.008, 0.01, 0.01, 0.005, 0.89])]
 
 
-def _lse(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(reduce(lambda a, b: a + b, [F.exp(t - top) for t in terms]))
+def log_sum(x: np.ndarray, axis: int = -1) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def _over(cols: list[Column], table: list[list[float]], down: bool) -> list[Column]:
-    """Messages through a table: to the directory's labels, or ``down`` to the labels of what lies in it."""
-    k = range(len(LABELS))
-    return [_lse([cols[i] + (table[j][i] if down else table[i][j]) for i in k]) for j in k]
+def messages(table: list[list[float]], down: bool, cols: list[Column]) -> Column:
+    """A struct ``m0 .. m4``: the message through a table to the directory's labels, or ``down`` to those of what lies in it."""
+    step = np.array(table) if down else np.array(table).T  # [to, from]
 
+    def send(*labels: pd.Series) -> pd.DataFrame:
+        x = np.stack([s.to_numpy(np.float64) for s in labels], 1)
+        return pd.DataFrame(log_sum(x[:, None, :] + step[None]), columns=[f"m{i}" for i in range(len(step))])
 
-def label_files(files: DataFrame, id_col: str = "file_id", repo: str = "repo_name", path: str = "path", content: str = "content") -> DataFrame:
+    return F.pandas_udf(send, ", ".join(f"m{i} double" for i in range(len(step))))(*cols)
+
+
+def label_files(files: DataFrame, id_col: str = "file_id", repo: str = "repo_name", path: str = "path", content: str = "content", language: str | None = None) -> DataFrame:
     """The label of every file and how sure it is.
 
-    Result: ``<id_col>, label, confidence``, one row per id; ``confidence`` is the
-    marginal probability of the label. Null ids are left out; a null content or path
-    counts as empty, a null repo as a repository of its own; of a repeated id one row
-    counts; other columns are not read. An empty table gives an empty result.
+    Result: ``<id_col>, label, confidence``, with ``language`` where that is given, one row per id; ``confidence``
+    is the marginal probability of the label. Null ids are left out; a null content or
+    path counts as empty, a null repo as a repository of its own; of a repeated id one
+    row counts; other columns are not read. An empty table gives an empty result. Where
+    ``language`` is given, files of no known one (null or ``unknown``) take part with
+    their names and head marks; what the shape of code says is not asked of them.
     """
     k = range(len(LABELS))
+    kept = [F.col("lang").alias(language)] if language else []
     kind = files.schema[id_col].dataType.simpleString()
-    src = files.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(repo), F.lit("")).alias("repo"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
+    src = files.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(repo), F.lit("")).alias("repo"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"), (F.col(language) if language else F.lit("source")).cast("string").alias("lang"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ev = [evidence(p, t) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array([e[i] for e in ev], pa.float64()) for i in k)], ["id", "repo", "path", *(f"e{i}" for i in k)])
+            ev = [evidence(p, t, lang not in (None, "unknown")) for p, t, lang in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), *(pa.array([e[i] for e in ev], pa.float64()) for i in k)], ["id", "repo", "path", "lang", *(f"e{i}" for i in k)])
 
-    ev = spread(src, "id").mapInArrow(run, f"id {kind}, repo string, path string, " + ", ".join(f"e{i} double" for i in k)).dropDuplicates(["id"])
+    ev = spread(src, "id").mapInArrow(run, f"id {kind}, repo string, path string, lang string, " + ", ".join(f"e{i} double" for i in k)).dropDuplicates(["id"])
     trail = F.split(F.regexp_replace("path", r"^/+|//+", "/"), "/")
     ev = ev.withColumn("dirs", F.slice(trail, 1, F.greatest(F.size(trail) - 1, F.lit(0)))).withColumn("dir", F.concat_ws("/", "dirs")).withColumn("depth", F.size("dirs"))
-    msg = _over([F.col(f"e{i}") for i in k], FILE_IN_DIR, down=False)
-    ev = checkpoint(ev.select("id", "repo", "dir", "depth", *(f"e{i}" for i in k), *(m.alias(f"m{i}") for i, m in enumerate(msg))))
+    ev = ev.withColumn("m", messages(FILE_IN_DIR, False, [F.col(f"e{i}") for i in k]))
+    ev = checkpoint(ev.select("id", "repo", "lang", "dir", "depth", *(f"e{i}" for i in k), *(f"m.m{i}" for i in k)))
     # Every directory on the way to a file, with what the files in it and its name say.
     leaf = ev.groupBy("repo", "dir", "depth").agg(*(F.sum(f"m{i}").alias(f"s{i}") for i in k))
     up = F.transform(F.sequence(F.lit(0), F.col("depth")), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(F.split("dir", "/"), F.lit(1), d), "/").alias("dir")))
@@ -175,7 +186,7 @@ def label_files(files: DataFrame, id_col: str = "file_id", repo: str = "repo_nam
     nodes = checkpoint(nodes.select("repo", "dir", "depth", *((F.element_at("own", i + 1) + F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in k)))
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return ev.select(F.col("id").alias(id_col), F.lit("").alias("label"), F.lit(0.0).alias("confidence"))
+        return ev.select(F.col("id").alias(id_col), *kept, F.lit("").alias("label"), F.lit(0.0).alias("confidence"))
     parent = F.regexp_replace("dir", r"/?[^/]*$", "")
     levels: dict[int, DataFrame] = {}
     below = None
@@ -183,19 +194,23 @@ def label_files(files: DataFrame, id_col: str = "file_id", repo: str = "repo_nam
         at = nodes.where(F.col("depth") == d)
         if below is not None:
             at = at.join(below, ["repo", "dir"], "left").select("repo", "dir", "depth", *((F.col(f"s{i}") + F.coalesce(f"c{i}", F.lit(0.0))).alias(f"s{i}") for i in k))
-        up_msg = _over([F.col(f"s{i}") for i in k], DIR_IN_DIR, down=False)
-        levels[d] = at = checkpoint(at.select("repo", "dir", parent.alias("parent"), *(f"s{i}" for i in k), *(m.alias(f"u{i}") for i, m in enumerate(up_msg))))
+        at = at.withColumn("m", messages(DIR_IN_DIR, False, [F.col(f"s{i}") for i in k]))
+        levels[d] = at = checkpoint(at.select("repo", "dir", parent.alias("parent"), *(f"s{i}" for i in k), *(F.col(f"m.m{i}").alias(f"u{i}") for i in k)))
         below = at.groupBy("repo", F.col("parent").alias("dir")).agg(*(F.sum(f"u{i}").alias(f"c{i}") for i in k))
     beliefs = {0: levels[0].select("repo", "dir", *(F.col(f"s{i}").alias(f"b{i}") for i in k))}
     for d in range(1, deepest + 1):  # and back
         above = beliefs[d - 1].select("repo", F.col("dir").alias("parent"), *(F.col(f"b{i}").alias(f"p{i}") for i in k))
         at = levels[d].join(above, ["repo", "parent"])
-        back = _over([F.col(f"p{i}") - F.col(f"u{i}") for i in k], DIR_IN_DIR, down=True)
-        beliefs[d] = checkpoint(at.select("repo", "dir", *((F.col(f"s{i}") + m).alias(f"b{i}") for i, m in enumerate(back))))
+        at = at.withColumn("m", messages(DIR_IN_DIR, True, [F.col(f"p{i}") - F.col(f"u{i}") for i in k]))
+        beliefs[d] = checkpoint(at.select("repo", "dir", *((F.col(f"s{i}") + F.col(f"m.m{i}")).alias(f"b{i}") for i in k)))
     all_dirs = reduce(DataFrame.unionByName, beliefs.values())
+
+    def decide(*cols: pd.Series) -> pd.DataFrame:
+        """Label and marginal from a file's evidence, its own message and its directory's belief."""
+        e, m, b = (np.stack([s.to_numpy(np.float64) for s in cols[i : i + len(LABELS)]], 1) for i in range(0, len(cols), len(LABELS)))
+        x = e + log_sum((b - m)[:, None, :] + np.array(FILE_IN_DIR)[None])
+        return pd.DataFrame({"label": np.array(LABELS, object)[x.argmax(1)], "confidence": np.exp(x.max(1) - log_sum(x))})
+
     x = ev.join(all_dirs, ["repo", "dir"])
-    back = _over([F.col(f"b{i}") - F.col(f"m{i}") for i in k], FILE_IN_DIR, down=True)
-    x = x.select("id", *((F.col(f"e{i}") + m).alias(f"f{i}") for i, m in enumerate(back)))
-    best = F.greatest(*(F.col(f"f{i}") for i in k))
-    label = F.coalesce(*(F.when(F.col(f"f{i}") == best, F.lit(LABELS[i])) for i in k))
-    return x.select(F.col("id").alias(id_col), label.alias("label"), F.exp(best - _lse([F.col(f"f{i}") for i in k])).alias("confidence"))
+    x = x.withColumn("x", F.pandas_udf(decide, "label string, confidence double")(*(F.col(f"{c}{i}") for c in "emb" for i in k)))
+    return x.select(F.col("id").alias(id_col), *kept, "x.label", "x.confidence")

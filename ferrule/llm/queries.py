@@ -27,12 +27,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.label_files(table(spark, sf_dir, "raw_files"))
+    return provenance.label_files(table(spark, sf_dir, "raw_files"), language="language")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = table(spark, sf_dir, "raw_files").where("language is not null and language <> 'unknown'")
-    return provenance.label_files(sources).where("label <> 'handwritten'").select("file_id")
+    """All files take part; configuration files, of no known language, are then no case."""
+    return p5_labels(spark, sf_dir).where("label <> 'handwritten' and language is not null and language <> 'unknown'").select("file_id")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
