@@ -133,6 +133,14 @@ class Productions:
         self.functions = self.loops = self.breaks = self.level = 0
         self.no_in = self.target = self.ambient = False
         self.asynchronous = True  # a module may await at its top
+        self.no_types: set[int] = set()
+        self.after: dict[int, Token] = {}  # of every opening bracket the token after its closing one
+        opened = []
+        for tok, following in zip(tokens, tokens[1:], strict=False):
+            if tok.kind == "p" and tok.text in ("(", "[", "{"):
+                opened.append(tok)
+            elif tok.kind == "p" and tok.text in (")", "]", "}") and opened:
+                self.after[id(opened.pop())] = following
 
     # Tokens
     def peek(self, text: str, k: int = 0) -> bool:
@@ -657,15 +665,8 @@ class Productions:
             return True
         if self.t[k].text != "(" or self.t[k].kind != "p":
             return False
-        depth = 0
-        for j in range(k, len(self.t)):
-            if self.t[j].kind == "p":
-                depth += self.t[j].text in "([{"
-                depth -= self.t[j].text in ")]}"
-                if depth == 0:
-                    after = self.t[j + 1] if j + 1 < len(self.t) else None
-                    return bool(after) and after.kind == "p" and (after.text == "=>" or self.types and after.text == ":")
-        return False
+        after = self.after.get(id(self.t[k]))
+        return after is not None and after.kind == "p" and (after.text == "=>" or self.types and after.text == ":")
 
     def arrow(self) -> None:
         asynchronous = self.peek("async") and not self.peek("=>", 1)
@@ -982,6 +983,17 @@ class Productions:
         self.need(">")
 
     def type_arguments(self) -> None:
+        """Tried again and again from outer to inner ones; where they failed once they fail always."""
+        begin = id(self.t[self.i])
+        if begin in self.no_types:
+            raise Bad("type arguments")
+        try:
+            self.type_list()
+        except Bad:
+            self.no_types.add(begin)
+            raise
+
+    def type_list(self) -> None:
         self.need("<")
         while True:
             self.type()
@@ -1019,14 +1031,8 @@ class Productions:
         return None
 
     def function_type_ahead(self) -> bool:
-        depth = 0
-        for j in range(self.i, len(self.t)):
-            if self.t[j].kind == "p":
-                depth += self.t[j].text in "([{"
-                depth -= self.t[j].text in ")]}"
-                if depth == 0:
-                    return j + 1 < len(self.t) and self.t[j + 1].text == "=>"
-        return False
+        after = self.after.get(id(self.t[self.i]))
+        return after is not None and after.text == "=>"
 
     def type_operand(self) -> None:
         tok = self.t[self.i]

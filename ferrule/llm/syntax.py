@@ -3,20 +3,18 @@
 Files are lexed into rows. Adjacent token pairs are anti-joined with the pairs that
 the grammar permits, which are derived from the productions below by their first and
 last tokens. Brackets are checked by windowed reductions: a running depth per file,
-and at each depth the opener that a closer meets. Statement productions are reduced
-over each file's tokens; those of Python go on through its compiler, which reads every
-file that the compound statements leave standing. A file that any of the three rejects
-is then confirmed: by the compiler of this Python, or by the productions of JavaScript
-and TypeScript.
+and at each depth the opener that a closer meets. Statement productions, with the
+rules on names and scopes, are reduced over each file's tokens. Only a file that one
+of the three rejects is then confirmed: by the compiler of this Python, or by the
+productions of JavaScript and TypeScript.
 """
 
 from __future__ import annotations
 
-import io
 import keyword
 import re
 import sys
-import tokenize
+import token
 import warnings
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.llm import ecma
+from ferrule.llm import ecma, pysource
 from ferrule.runtime import checkpoint, spread
 
 PYTHON_GRAMMAR = """
@@ -178,95 +176,30 @@ def permitted_rows() -> list[tuple[str, str, str]]:
     return sorted(set(out))
 
 
-def lex_python(text: str) -> tuple[list[str], str]:
-    """Tokens as the grammar names them, and what lexical rule is broken, if any."""
+#: Frames that a worker's productions may nest. They lie on the heap, not on the machine's stack, some 500 bytes each.
+FRAMES = 300_000
+
+
+def lex_python(text: str) -> tuple[list[str], list[tuple[int, str]], str]:
+    """Tokens as the grammar names them (formatted strings as one), as they are read, and what lexical rule is broken, if any."""
+    tokens, fault = pysource.read(text)
     out: list[str] = []
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            inside = 0
-            for t in tokenize.generate_tokens(io.StringIO(text).readline):
-                if t.type == tokenize.FSTRING_START:
-                    inside += 1
-                    if inside == 1:
-                        out.append("STRING")
-                elif t.type == tokenize.FSTRING_END:
-                    inside -= 1
-                elif inside or t.type in (tokenize.COMMENT, tokenize.NL, tokenize.ENCODING):
-                    continue
-                elif t.type == tokenize.NAME:
-                    if not t.string.isidentifier():
-                        return out, "character"
-                    begins = not out or out[-1] in ("NEWLINE", "INDENT", "DEDENT", ":", ";")
-                    out.append(t.string if t.string in PY_WORDS else "SOFT" if begins and t.string in ("match", "case", "type") else "NAME")
-                elif t.type == tokenize.ENDMARKER:
-                    out.append("END")
-                elif t.type == tokenize.ERRORTOKEN:
-                    return out, "character"
-                elif t.type == tokenize.OP:
-                    out.append(t.string)
-                else:
-                    out.append(tokenize.tok_name[t.type])
-    except (tokenize.TokenError, SyntaxError, ValueError) as e:
-        return out, type(e).__name__
-    return out, ""
-
-
-def python_statements(toks: list[str]) -> str:
-    """What production of compound statements is broken, if any."""
-    heads = {"if", "while", "for", "try", "with", "def", "class", "else", "elif", "except", "finally", "async", "@"}
-    follows = {"else": {"if", "elif", "for", "while", "try", "except"}, "elif": {"if", "elif"}, "except": {"try", "except"}, "finally": {"try", "except", "else"}}
-    stack: list[str] = [""]  # the compound statement last closed at each depth
-    depth, start, last, colon, opened, first = 0, True, "", False, 0, ""
-    opened_by = [""]
-    for t in toks:
-        if t == "INDENT":
-            if not colon:
-                return "indent"
-            opened_by.append(first)
-            stack.append("")
-            depth, colon = depth + 1, False
-            start = True
+    inside = 0
+    for kind, text_ in tokens:
+        if kind == token.FSTRING_START:
+            inside += 1
+            if inside == 1:
+                out.append("STRING")
+        elif kind == token.FSTRING_END:
+            inside -= 1
+        elif inside:
             continue
-        if stack[-1] == "try" and start and t not in ("except", "finally", "INDENT"):
-            return "try"
-        if t == "DEDENT":
-            opened_by.pop()
-            stack.pop()
-            depth -= 1
-            start = True
-            continue
-        if colon and start:
-            return "block"
-        if start:
-            first = t
-            if t in follows and stack[-1] not in follows[t]:
-                return t
-            if t == "return" and "def" not in opened_by and "async" not in opened_by:
-                return t
-            start, opened, lambdas = False, 0, 0
-            has_colon = False
-        if t in "([{" and len(t) == 1:
-            opened += 1
-        elif t in ")]}" and len(t) == 1:
-            opened -= 1
-        elif t == "lambda":
-            lambdas += 1
-        elif t == ":" and opened == 0:
-            if lambdas:
-                lambdas -= 1
-            else:
-                has_colon = True
-        if t == "NEWLINE":
-            colon = last == ":"
-            if first in heads and first != "@" and not has_colon:
-                return "colon"
-            if colon and first not in heads and first != "SOFT":
-                return "colon"
-            stack[-1] = first if first in heads else ""
-            start = True
-        last = t
-    return "block" if colon else ""
+        elif kind == token.NAME:
+            begins = not out or out[-1] in ("NEWLINE", "INDENT", "DEDENT", ":", ";")
+            out.append(text_ if text_ in PY_WORDS else "SOFT" if begins and text_ in ("match", "case", "type") else "NAME")
+        else:
+            out.append("END" if kind == token.ENDMARKER else text_ if kind == token.OP else token.tok_name[kind])
+    return out, tokens, fault
 
 
 def language_group(language: str | None) -> str | None:
@@ -276,9 +209,11 @@ def language_group(language: str | None) -> str | None:
 def lexed_rows(language: str, text: str) -> tuple[str, list[tuple[str, str]], list[str]]:
     """Lexical or production fault, adjacent pairs (distinct), and the brackets in order."""
     if language == "python":
-        toks, fault = lex_python(text)
-        # Simple statements, calls, parameters, clauses and scopes: no file is valid unread.
-        fault = fault or python_statements(toks) or ("statement" if confirmed(language, text) else "")
+        toks, tokens, fault = lex_python(text)
+        try:
+            fault = fault or pysource.fault_of(tokens)
+        except RecursionError:
+            pass  # nested too deep to tell: pairs and brackets decide
         pairs = set(zip(toks, toks[1:], strict=False))
     else:
         try:
@@ -329,7 +264,7 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", content: str = "con
     src = src.select(F.col(id_col).alias("id"), F.col(language).alias("language"), F.col(content).alias("content"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(5000)
+        sys.setrecursionlimit(FRAMES)
         for b in it:
             rows = [lexed_rows(lang, text) for lang, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             langs = ["python" if x == "python" else "ecma" for x in b.column(1).to_pylist()]
@@ -356,7 +291,7 @@ def invalid_files(files: DataFrame, id_col: str = "file_id", content: str = "con
     suspects = odd.unionByName(nesting).unionByName(broken).groupBy("id").agg(F.min("reason").alias("reason"))
 
     def confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(5000)
+        sys.setrecursionlimit(FRAMES)
         for b in it:
             # What is too deep to confirm keeps the verdict of the steps that made it a suspect.
             bad = [confirmed(lang, t) is not False for lang, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]

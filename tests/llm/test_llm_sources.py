@@ -1,6 +1,13 @@
+import glob
+import os
+import random
+import re
+import sys
+import sysconfig
+
 import pytest
 
-from ferrule.llm import ecma, provenance, syntax
+from ferrule.llm import ecma, provenance, pysource, syntax
 
 GOOD_JS = """
 import a, { b as c } from './x';
@@ -133,3 +140,72 @@ def test_propagation_is_exact(spark):
     for i, m in marg.items():
         assert got[i][0] == provenance.LABELS[int(m.argmax())]
         assert got[i][1] == pytest.approx(m.max() / m.sum(), rel=1e-6)
+
+
+def test_configuration_takes_part_but_is_not_judged_by_its_shape(spark):
+    numbers = "[" + ", ".join(str(i * 37) for i in range(900)) + "]"
+    rows = [(1, "r", "src/data.json", numbers, "unknown"), (2, "r", "src/data.js", "var d = " + numbers, "javascript"), (3, "r", "src/a.py", "def f(x):\n    return x\n", "python"), (4, "r", "vendor/lib/b.json", "{}", None)]
+    df = spark.createDataFrame(rows, "file_id long, repo_name string, path string, content string, language string")
+    got = {r["file_id"]: r["label"] for r in provenance.label_files(df, language="language").collect()}
+    assert got == {1: "handwritten", 2: "blob", 3: "handwritten", 4: "vendored"}
+
+
+# What the compiler of Python rejects and accepts, a line a case.
+PYTHON_BAD = ["1 = x","[x for x in (y := z)]","[[(j := 0) for i in x] for j in y]","def f():\n [x for y in z]\n global z","class A: [x := 1 for y in z]","def f():\n return [(yield) for x in y]","try:\n pass\nexcept* E:\n return","def f():\n try:\n  pass\n except* E:\n  return","for x in y:\n try:\n  pass\n except* E:\n  break","{a: b, **c for a in b}","{*a for a in b}","[*a for a in b]","(x, y for y in z)","[x, y for y in z]","f(x, y for y in z)","f() = 1","f(a=1, 2)","x = {1:2, 3}","def f(a=1,b): pass","x += y += 1","x = 0777","break","yield 1","import a.b as c.d","try:\n  pass\nexcept:\n  pass\nexcept ValueError:\n  pass","def f(a,a): pass","if x = 5:\n pass","raise E, 'm'","try:\n pass\nexcept E, e:\n pass","print 'x'","x = *a","*a = b","(*a)","del f()","f(**k, *a)","f(x for x in y, 1)","x = 1 if 2","for 1 in x: pass","with a as 1: pass","lambda *: 1","def f(*): pass","def f(**k, a): pass","return 1","class A:\n return 1","await x","async def f():\n yield from x","nonlocal x","def f():\n nonlocal x","def f():\n x=1\n global x","'a' b'c'","'\\x1'","b'é'","f'{'","f'{a b}'","f'{a!z}'","x := 1","[x := 1 for x in y]","a not b","not","x = yield","from a import b,","from a import (b","from __future__ import nothing","x=1\nfrom __future__ import annotations","def f():\n from a import *","match x:\n case a: pass\n case b: pass","a.b: int: 3","{**a for a in b}","f(a=1,a=2)","None = 1","def None(): pass","x = (1,2","1abc","0b12","1__0","async with a: pass","[i async for i in x]","a if b else","lambda x=1, y: 2","@","@a\nx=1","else: pass","elif a: pass","try: pass","while True print(1)","x = 5 5","def f(a, /, b, /): pass","def f(*, **k): pass","global x, x.y","assert","del","import","from . import","a..b","a[","x[1:2:3:4]","{1:}","{:1}","()=","f(a.b=1)","f(True=1)","a = b = 1 = c","(a, b) += 1","[a] : int = 1","with (a as b, c as d: pass","class A(x for x in y): pass","type X","async x","f(*)","f(**)","x = not","if True:\nx=1"]
+PYTHON_GOOD = ["x=1","*a, = b","*a, b = c","x = *a,","print(*a, **k)","f(a=1, *b)","f(x for x in y)","with (a, b): pass","with (a as b, c as d,): pass","with (a): pass","with (a, b) as c: pass","(x): int = 1","x[*a]","match = 1","match(x)","match[x] = 1","match x:\n case [1, *_]: pass\n case {'a': b, **c}: pass\n case A(1, b=2) | 3: pass\n case _: pass","type X = int","type X[T] = list[T]","def f[T: int, *Ts, **P](a): pass","class A[T](B): pass","f'{a!r:>{w}}'","f'{x=}'","f'{a,}'","async def f():\n async with a as b, c: pass\n return [x async for x in y]","lambda: (yield)","def f():\n return [x for x in (yield)]","[[[[[[[[[[[[x for a in b] for a in b] for a in b] for a in b] for a in b] for a in b] for a in b] for a in b] for a in b] for a in b] for a in b] for a in b]","def f():\n [x for y in z]\n global x","lambda *a, b=1, **k: 0","def f(a, /, b=1, *, c, d=2, **e): pass","if (n := 1): pass","[y := f(x), y**2]","x = yield_","def f():\n x = yield\n yield a, b\n y = yield from z","print >>f, 'x'","a = b = c","a: int","not not a","- - -a","a ** -b ** c","x if y else z if w else v","lambda x: lambda y: x","for x, in y: pass","for x.a, y[0] in z: pass\nelse: pass","del a, b[0], (c, d), [e]","try:\n pass\nexcept* E as e:\n pass","global x\nx = 1","def f():\n x = 1\n def g():\n  nonlocal x\n  x = 2","from a import (b as c, d,)","from .. import x","from ... import x","@a.b(c)[0]\nclass X: pass","x = {**a, 'b': 1}","{*a, 1}","{x: y for x, y in z if a if b}","[(a, b) for a in x for b in y]","'''a\nb'''","u'a' r'\\d' ","1_000 + 0x_ff + 1e5j","...","return_ = 1","if a: b; c;","class A: x = 1; y = 2","print(a if b else c, *d)","x = a if b else lambda: c","assert x, y","raise A from b","async def f():\n await a\n x = await b + await c","f(a)(b)[c].d","case = 1\ntype = 2","a = (yield_)","with open(a) as f, open(b) as g: pass","a[b, c:d, ...]","a[b:=1]","while a: break\nelse: pass","{}","[]","()","(a,)","f'{a:{b}}' 'c'","x: 'a' = yield_","match x, y:\n case a, b: pass","match x:\n case -1 | 1+2j | 'a' 'b' | None: pass","match x:\n case a.b | c.d(): pass","f(a, *b, c)","f(**a, b=1)","def f(*a: *b): pass","try:\n pass\nfinally:\n pass",""]
+
+
+def python_fault(text):
+    tokens, fault = pysource.read(text)
+    return fault or pysource.fault_of(tokens)
+
+
+def compiles(text):
+    try:
+        compile(text, "file", "exec", dont_inherit=True)
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_python_productions_decide_as_the_compiler():
+    assert [x for x in PYTHON_BAD if compiles(x) or not python_fault(x)] == []
+    assert [x for x in PYTHON_GOOD if not compiles(x) or python_fault(x)] == []
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_python_productions_on_changed_sources():
+    """Statements of the standard library, whole and with a token dropped, doubled, moved or replaced."""
+    r, files = random.Random(4), sorted(glob.glob(os.path.join(sysconfig.get_paths()["stdlib"], "*.py")))
+    words = "( ) [ ] { } : , . = == * ** if else for in not lambda x 1 's' return yield await async def class break import as from with try except pass del global is @ -> := += None match case".split()
+    tried = 0
+    for path in r.sample(files, 60):
+        text = open(path, encoding="utf-8").read()
+        assert not python_fault(text), path
+        lines = text.split("\n")
+        starts = [i for i, x in enumerate(lines) if x[:1].isalpha() or x[:1] == "@"] + [len(lines)]
+        for _ in range(25):
+            k = r.randrange(len(starts) - 1)
+            part = "\n".join(lines[starts[k] : starts[min(len(starts) - 1, k + r.randrange(1, 5))]])
+            tokens = list(re.finditer(r"\w+|[^\w\s]|\n[ \t]*", part))
+            if not tokens or len(part) > 6000:
+                continue
+            m, put = r.choice(tokens), r.choice(["", r.choice(words), r.choice(tokens)[0], " " + r.choice(words) + " "])
+            changed = part[: m.start()] + put + part[m.end() :]
+            tried += 1
+            assert bool(python_fault(changed)) != compiles(changed), changed
+    assert tried > 500
+
+
+@pytest.mark.parametrize("depth", [500, 4000])
+def test_deep_scripts_are_judged(depth):
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(syntax.FRAMES)
+    try:
+        for inner, bad in (("", False), ("var x = ;", True)):
+            assert bool(syntax.lexed_rows("javascript", "f(function(){" * depth + inner + "})" * depth)[0]) is bad
+        for inner, bad in (("1", False), ("1 2", True)):
+            assert bool(syntax.lexed_rows("typescript", "[" * depth + inner + "]" * depth)[0]) is bad
+    finally:
+        sys.setrecursionlimit(limit)
