@@ -130,7 +130,7 @@ def qa_json_parse(spark, d):
     return R.questions(spark, d).select("qa_id", evaluation.qa_fields(reply).alias("x")).select("qa_id", "x.question", "x.answer")
 
 
-@add()
+@add(f"WITH {QA} SELECT qa_id FROM q WHERE left(md5(qa_id::VARCHAR), 8) < '{int(0.1 * 2**32):08x}'")
 def judge_sample(spark, d):
     return R.questions(spark, d).where(evaluation.sampled(F.col("qa_id"), 0.1)).select("qa_id")
 

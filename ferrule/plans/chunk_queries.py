@@ -27,14 +27,27 @@ def fixed_chunks(spark, d):
     return R.documents(spark, d).select("doc_id", F.posexplode(chunking.fixed_chunks(F.col("text"), 100)).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@add()
+# Chunks done and the one being filled, carried from piece to piece.
+_STATE = "{'done': []::VARCHAR[], 'cur': ''}"
+
+
+@add(f"""WITH {DOCS}, p AS (SELECT doc_id, list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda s: {{'done': []::VARCHAR[], 'cur': s}}) AS l FROM d WHERE text IS NOT NULL),
+r AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN length(x.cur) + length(a.cur) < 150 THEN {{'done': a.done, 'cur': a.cur || x.cur || '. '}} ELSE {{'done': CASE WHEN length(a.cur) = 0 THEN a.done ELSE list_append(a.done, trim(a.cur)) END, 'cur': x.cur || '. '}} END, {_STATE}) AS a FROM p),
+c AS (SELECT doc_id, CASE WHEN length(a.cur) > 0 THEN list_append(a.done, trim(a.cur)) ELSE a.done END AS l FROM r)
+SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS piece FROM c""")
 def sentence_chunks(spark, d):
-    return R.documents(spark, d).select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"))).alias("pos", "piece"))
+    return R.documents(spark, d).select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@add()
+@add(f"""WITH {DOCS}, t AS (SELECT doc_id, text, CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10) WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, '. ') THEN '. ' WHEN contains(text, ' ') THEN ' ' END AS sep FROM d WHERE length(text) > 0),
+p AS (SELECT doc_id, sep, list_transform(string_split(text, sep), lambda s: {{'done': []::VARCHAR[], 'cur': s}}) AS l FROM t WHERE length(text) > 200 AND sep IS NOT NULL),
+r AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN length(a.cur) = 0 THEN {{'done': a.done, 'cur': x.cur}} WHEN length(a.cur) + length(x.cur) + length(sep) <= 200 THEN {{'done': a.done, 'cur': a.cur || sep || x.cur}} ELSE {{'done': list_append(a.done, a.cur), 'cur': x.cur}} END, {_STATE}) AS a FROM p),
+w AS (SELECT doc_id, CASE WHEN length(a.cur) > 0 THEN list_append(a.done, a.cur) ELSE a.done END AS l FROM r UNION ALL SELECT doc_id, [text] FROM t WHERE length(text) <= 200
+UNION ALL SELECT doc_id, list_transform(range(0, ceil(length(text) / 200.0)::BIGINT), lambda i: substring(text, 200 * i + 1, 200)) FROM t WHERE length(text) > 200 AND sep IS NULL),
+u AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS piece, unnest(list_concat([''], l[1:-2])) AS prior FROM w)
+SELECT doc_id, pos, CASE WHEN pos > 0 THEN right(prior, 20) || ' ' || piece ELSE piece END AS piece FROM u""")
 def separator_chunks(spark, d):
-    return R.documents(spark, d).select("doc_id", F.posexplode(chunking.separator_chunks(F.col("text"))).alias("pos", "piece"))
+    return R.documents(spark, d).select("doc_id", F.posexplode(chunking.separator_chunks(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @add(f"WITH {DOCS}, p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: x <> '') AS l FROM d) SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS piece FROM p")
