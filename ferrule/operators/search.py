@@ -7,7 +7,7 @@ of both sides are met in blocks, a query block against a row block per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,6 +88,71 @@ def vector_topk(queries: DataFrame, rows: DataFrame, query_key: str, row_key: st
     return out.distinct().withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
+#: What may narrow a query, beside its scope: the query's column and the row's, and how the two must agree.
+FILTERS = {"symbol": ("symbol_name", lambda want, have: have == want), "filename": ("file_path", lambda want, have: isinstance(have, str) and have.endswith(want)), "language": ("language", lambda want, have: have == want)}
+
+
+def with_filters(queries: DataFrame) -> DataFrame:
+    """``queries`` with all columns of ``FILTERS``; a missing or blank one narrows nothing."""
+    return queries.withColumns({c: F.when(~names.blank(F.col(c)), F.col(c).cast("string")) if c in queries.columns else F.lit(None).cast("string") for c in FILTERS})
+
+
+def scoped_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of each query's scope with the greatest dot product.
+
+    ``queries``: ``query_id, scope, v`` and any of ``FILTERS``; ``rows``: ``row_id, scope,
+    v, symbol_name, file_path, language``. Result: ``query_id, row_id, score``, ties by
+    id. The stated queries are met block by block: tasks hold a block of them, go
+    through their rows once and send on their best ``k`` of each query. Null vectors,
+    scopes and lengths that differ give no row; repeated rows count once.
+    """
+    spark, out = rows.sparkSession, None
+    qt, rt = queries.schema["query_id"].dataType.simpleString(), rows.schema["row_id"].dataType.simpleString()
+    q = with_filters(queries).where(F.col("v").isNotNull() & F.col("scope").isNotNull() & F.col("query_id").isNotNull()).select("query_id", "scope", F.col("v").cast("array<double>").alias("v"), *FILTERS).dropDuplicates(["query_id"])
+    src = rows.where(F.col("v").isNotNull() & F.col("row_id").isNotNull()).select("row_id", "scope", F.col("v").cast("array<double>").alias("v"), *(have for have, _ in FILTERS.values()))
+    block: list = []
+
+    def local(held) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked: dict = {}
+            for r in held.value:
+                asked.setdefault((r["scope"], len(r["v"])), []).append(r)
+            best: dict = {}
+            for pdf in it:
+                for (scope, size), group in pdf.groupby([pdf["scope"], pdf["v"].map(len)]):
+                    mine = asked.get((scope, size))
+                    if not mine:
+                        continue
+                    keys = group["row_id"].to_numpy()
+                    sims = np.array([r["v"] for r in mine]) @ np.stack(group["v"].to_numpy()).astype(float).T
+                    for r, s in zip(mine, sims, strict=True):
+                        ok = np.isfinite(s)
+                        for want, (have, agrees) in FILTERS.items():
+                            if r[want] is not None:
+                                ok &= np.array([agrees(r[want], x) for x in group[have]], bool)
+                        at = np.flatnonzero(ok)
+                        if len(at) > 4 * k + 16:  # everything that ties with the kth stays
+                            at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k] - 1e-9]
+                        best[r["query_id"]] = sorted({(-round(float(s[i]), 9), keys[i]) for i in at} | set(best.get(r["query_id"], ())))[:k]
+            yield pd.DataFrame([(q, x, -s) for q, found in best.items() for s, x in found], columns=["query_id", "row_id", "score"])
+
+        return run
+
+    def search_block(out: DataFrame | None) -> DataFrame:
+        part = src.mapInPandas(local(spark.sparkContext.broadcast(list(block))), f"query_id {qt}, row_id {rt}, score double")
+        return part if out is None else out.unionByName(part)
+
+    for r in q.toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            out = search_block(out)
+            block.clear()
+    if block or out is None:
+        out = search_block(out)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return out.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
 def score_matrix(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, vector: str, epsilon: float = 1e-8) -> DataFrame:
     """Every measure of each query of a stated set with each row, query block by query block.
 

@@ -109,17 +109,24 @@ class Engine:
         return hybrid(q, chunks, s.top_k, s.top_k * s.candidate_factor, s.short_dims, s.rrf_k)
 
     def query(self, questions: DataFrame) -> DataFrame:
-        """Prompt and sources of every question: hits, one hop of neighbours, one context within the budget."""
+        """Prompt and sources of every question: seeds, one hop of neighbours, one context within the budget.
+
+        ``questions``: ``query_id, question, repo_name`` and, where wanted, ``symbol, filename, language``.
+        Adds ``route, n, context, prompt`` and ``sources`` (chunk, how it was found, start of its text) in order.
+        """
         s, chunks, nodes, edges = self.settings, self.store.read("chunks"), self.store.read("nodes"), self.store.read("edges")
-        hits = self.candidates(questions).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), F.lit("hybrid").alias("source"))
+        asked = questions.withColumn("vector_768", self.embedder.column(F.col("question"), True))
+        hits = retrieve(asked, chunks, s.top_k, s.top_k * s.candidate_factor, s.short_dims, s.rrf_k).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), "source")
         hits = checkpoint(hits)  # a few rows per question, read three times below
         near = graph.expand_neighbors(hits.select("query_id", "chunk_id"), edges, nodes, s.neighbor_limit)
         near = near.select("query_id", "chunk_id", F.dense_rank().over(Window.partitionBy("query_id").orderBy("chunk_id")).alias("pos"), F.lit("graph_expand").alias("source"))
         placed = context.interleave(graph.merge_hits(hits, near))
-        blocks = placed.join(chunks, "chunk_id").select("query_id", "place", context.block().alias("block"))
+        read = placed.join(chunks, "chunk_id")
+        blocks = read.select("query_id", "place", context.block().alias("block"))
         ctx = context.assembled(context.within_budget(blocks, "query_id", "place", "block", s.context_chars), "query_id", "place", "block")
+        sources = read.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "source", names.snippet(F.col("text")).alias("snippet")))).alias("sources"))
         routed = questions.withColumn("route", context.route(F.col("question")))
-        return routed.join(ctx, "query_id", "left").withColumn("prompt", context.prompt(F.col("route"), F.col("context"), F.col("question")))
+        return routed.join(ctx, "query_id", "left").join(sources, "query_id", "left").withColumn("prompt", context.prompt(F.col("route"), F.col("context"), F.col("question")))
 
     def answer(self, question: str, repo: str) -> dict:
         """One question to its end: the only place where the generator runs on the driver."""
@@ -127,7 +134,7 @@ class Engine:
         q = self.spark.createDataFrame([(0, question, repo)], "query_id long, question string, repo_name string")
         row = self.query(q).first()
         text, used = self.generate(row["prompt"])
-        return {"answer": text, "route": row["route"], "chunks": row["n"] or 0, "tokens": used, "latency_ms": round(1000 * (time.time() - began), 1)}
+        return {"answer": text, "route": row["route"], "chunks": row["n"] or 0, "sources": [(x["chunk_id"], x["source"], x["snippet"]) for x in row["sources"] or []], "tokens": used, "latency_ms": round(1000 * (time.time() - began), 1)}
 
     def cached_answer(self, question: str, repo: str) -> dict:
         """``answer``, kept until the tables change."""
@@ -179,15 +186,39 @@ class Engine:
 def hybrid(questions: DataFrame, chunks: DataFrame, k: int, width: int, short_dims: int = 128, rrf_k: int = 60) -> DataFrame:
     """Cascade and BM25 of questions (``query_id, question, repo_name, vector_768``) within their repositories, fused.
 
+    Columns ``symbol, filename, language``, where given, narrow the vector leg: equal
+    symbol and language, path that ends with the file name.
+
     Result: ``query_id, row_id, vector_rank, text_rank, rrf_score, rank``.
     """
-    c = chunks.where("vector_768 is not null").select(F.col("chunk_id").alias("row_id"), "repo_name", F.col("vector_768").alias("rv")).dropDuplicates(["row_id"])
-    q = questions.select("query_id", "question", "repo_name", "vector_768")
+    c = chunks.where("vector_768 is not null").select(F.col("chunk_id").alias("row_id"), "repo_name", F.col("vector_768").alias("rv"), "symbol_name", "file_path", "language").dropDuplicates(["row_id"])
+    q = search.with_filters(questions).select("query_id", "question", "repo_name", "vector_768", *search.FILTERS)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "row_id")
-    # Only short vectors meet row by row; whole ones join the candidates that are left.
-    near = q.where("vector_768 is not null").select("query_id", "repo_name", vectors.truncated("vector_768", short_dims).alias("qs")).join(c.select("row_id", "repo_name", vectors.truncated("rv", short_dims).alias("rs")), "repo_name")
-    near = near.select("query_id", "row_id", vectors.dot("qs", "rs").alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= width).select("query_id", "row_id")
+    # Short vectors are met in blocks of questions; whole ones join the candidates that are left.
+    asked = q.select("query_id", F.col("repo_name").alias("scope"), vectors.truncated("vector_768", short_dims).alias("v"), *search.FILTERS)
+    near = search.scoped_topk(asked, c.select("row_id", F.col("repo_name").alias("scope"), vectors.truncated("rv", short_dims).alias("v"), "symbol_name", "file_path", "language"), width).select("query_id", "row_id")
     full = near.join(q.select("query_id", "vector_768"), "query_id").join(c.select("row_id", "rv"), "row_id")
     vec = full.select("query_id", "row_id", vectors.dot("vector_768", "rv").alias("score")).withColumn("rank", F.row_number().over(w) - 1)
     text = search.bm25_topk(q, chunks, "query_id", "question", "chunk_id", names.search_content("symbol_name", "docstring", "text"), width, "repo_name", "repo_name")
     return search.rrf(vec, text, k, rrf_k)
+
+
+def retrieve(requests: DataFrame, chunks: DataFrame, k: int, width: int, short_dims: int = 128, rrf_k: int = 60, most: int = 10) -> DataFrame:
+    """Seeds of every request: exact matches of its symbol, else hybrid hits.
+
+    ``requests``: as for ``hybrid``, with ``symbol, filename, language`` where wanted.
+    Exact are chunks of the repository with that symbol, a path that contains the file
+    name and that language; 1 to ``most`` of them answer, none or more leave the request to
+    the filtered hybrid search. Result: ``query_id, row_id, source, rank``.
+    """
+    req = search.with_filters(requests)
+    c = chunks.select(F.col("chunk_id").alias("row_id"), "repo_name", F.col("symbol_name").alias("symbol"), "file_path", F.col("language").alias("written_in"))
+    exact = req.select("query_id", "repo_name", *search.FILTERS).join(c, ["repo_name", "symbol"])
+    exact = exact.where((F.col("filename").isNull() | F.contains("file_path", "filename")) & (F.col("language").isNull() | (F.col("written_in") == F.col("language")))).select("query_id", "row_id").distinct()
+    w = Window.partitionBy("query_id").orderBy("row_id")
+    exact = exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most + 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    exact = checkpoint(exact.where(F.col("n") <= most).select("query_id", "row_id", F.lit("symbol_lookup").alias("source"), F.col("rank") - 1))  # at most ``most`` rows a request
+    exact = exact.toDF("query_id", "row_id", "source", "rank")
+    rest = requests.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    found = hybrid(rest, chunks, k, width, short_dims, rrf_k)
+    return exact.unionByName(found.select("query_id", "row_id", F.lit("hybrid").alias("source"), F.col("rank").cast("int").alias("rank")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ferrule.functions import names, vectors
 from ferrule.operators import search
 from ferrule.plans import registry as R
-from ferrule.plans.engine import hybrid
+from ferrule.plans.engine import hybrid, retrieve
 from ferrule.runtime import table
 
 CATALOG = R.Catalog()
@@ -59,9 +59,10 @@ def metric_compare(spark, d):
     return m.select(F.col("query_id").alias("a_id"), F.col("row_id").alias("b_id"), *(F.round(c, 6).alias(c) for c in ("cosine", "cosine_eps", "dot", "euclidean")))
 
 
-@add(f"WITH {_V} SELECT a.vec_id AS a_id, v.vec_id AS b_id, round({_COS}, 6) AS cosine FROM a JOIN a v ON a.vec_id <= v.vec_id")
+@add(f"WITH {_V} SELECT a.vec_id AS a_id, v.vec_id AS b_id, round({_COS}, 6) AS cosine FROM a, v WHERE v.vec_id % 50 <> 0 OR a.vec_id <= v.vec_id")
 def pairwise_similarity(spark, d):
-    m = search.score_matrix(_queries(spark, d), _queries(spark, d), "vec_id", "vec_id", "embedding").where("query_id <= row_id")
+    """Each query row with every row; a pair of two query rows once."""
+    m = search.score_matrix(_queries(spark, d), _rows(spark, d), "vec_id", "vec_id", "embedding").where("row_id % 50 <> 0 or query_id <= row_id")
     return m.select(F.col("query_id").alias("a_id"), F.col("row_id").alias("b_id"), F.round("cosine", 6).alias("cosine"))
 
 
@@ -112,6 +113,12 @@ vs AS (SELECT query_id, row_id, list_dot_product(x[1:128], y[1:128]) / (greatest
 vc AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(short, 9) DESC, row_id) <= 50),
 vk AS (SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, row_id) - 1 AS rank FROM vc)"""
 _FUSED = "fu AS (SELECT coalesce(vk.query_id, bk.query_id) AS query_id, coalesce(vk.row_id, bk.row_id) AS row_id, vk.rank AS vector_rank, bk.rank AS text_rank, coalesce(1.0::DOUBLE / (60 + vk.rank), 0) + coalesce(1.0::DOUBLE / (60 + bk.rank), 0) AS s FROM vk FULL JOIN bk ON vk.query_id = bk.query_id AND vk.row_id = bk.row_id), fk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vector_rank ASC NULLS LAST, text_rank ASC NULLS LAST) - 1 AS rank FROM fu QUALIFY rank < 5)"
+_AGREES = "(req.filename IS NULL OR {}(c.file_path, req.filename)) AND (req.language IS NULL OR c.language = req.language)"
+_NARROWED = _VECS.replace("FROM va JOIN vb USING (repo_name)", f"FROM va JOIN vb USING (repo_name) JOIN req USING (query_id) JOIN c ON c.chunk_id = row_id WHERE (req.symbol IS NULL OR c.symbol_name = req.symbol) AND {_AGREES.format('ends_with')}")
+GATED_SQL = f"""{QA}, {C}, req AS (SELECT qa_id AS query_id, split_part(expected_chunk_ids[1], '::', 1) AS repo_name, nullif(trim(_anchor_symbol), '') AS symbol, CASE WHEN qa_id % 100 = 0 THEN nullif(trim(_anchor_file), '') END AS filename, CASE WHEN qa_id % 200 = 0 THEN 'python' END AS language FROM q WHERE qa_id % 50 = 0),
+ex AS (SELECT query_id, chunk_id AS row_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) - 1 AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM req JOIN c ON c.repo_name = req.repo_name AND c.symbol_name = req.symbol AND {_AGREES.format("contains")}),
+{_bm25(_TQ, _TT, 50)}, {_NARROWED}, {_FUSED}
+SELECT query_id, row_id, 'symbol_lookup' AS source, rank FROM ex WHERE n <= 10 UNION ALL SELECT query_id, row_id, 'hybrid', rank FROM fk WHERE query_id NOT IN (SELECT query_id FROM ex WHERE n <= 10)"""
 HYBRID_SQL = f"{QA}, {C}, {_bm25(_TQ, _TT, 50)}, {_VECS}, {_FUSED}"
 
 
@@ -121,12 +128,26 @@ def embedded_questions(spark, d, every: int = 50):
     return q.join(c, "first_id", "left").select("query_id", "question", F.split_part("first_id", F.lit("::"), F.lit(1)).alias("repo_name"), "vector_768")
 
 
+def requests(spark, d):
+    """Every 50th question with the symbol of its anchor, on every other of them a file name, on every fourth a language."""
+    anchors = R.questions(spark, d).select(F.col("qa_id").alias("query_id"), F.col("_anchor_symbol").alias("symbol"), F.when(F.col("qa_id") % 100 == 0, F.col("_anchor_file")).alias("filename"), F.when(F.col("qa_id") % 200 == 0, F.lit("python")).alias("language"))
+    return embedded_questions(spark, d).join(anchors, "query_id")
+
+
 def hybrid_hits(spark, d, every: int = 50):
     c = R.chunks(spark, d)
     sound = c.withColumn("vector_768", F.when(F.size("vector_768") == 768, F.col("vector_768")))
     return hybrid(embedded_questions(spark, d, every), sound, 5, 50)
 
 
+@add(f"WITH {GATED_SQL}")
+def gated_search(spark, d):
+    """Requests with symbol, file name and language: exact matches where the gate lets them answer, else filtered hybrid hits."""
+    c = R.chunks(spark, d)
+    sound = c.withColumn("vector_768", F.when(F.size("vector_768") == 768, F.col("vector_768")))
+    return retrieve(requests(spark, d), sound, 5, 50).select("query_id", "row_id", "source", F.col("rank").cast("long").alias("rank"))
+
+
 @add(f"WITH {HYBRID_SQL} SELECT query_id, row_id, coalesce(vector_rank, -1) AS vector_rank, coalesce(text_rank, -1) AS text_rank, round(s, 9) AS rrf_score, rank FROM fk")
 def hybrid_search(spark, d):
     return hybrid_hits(spark, d).select("query_id", "row_id", F.coalesce(F.col("vector_rank"), F.lit(-1)).cast("long").alias("vector_rank"), F.coalesce(F.col("text_rank"), F.lit(-1)).cast("long").alias("text_rank"), F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))

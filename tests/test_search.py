@@ -99,3 +99,38 @@ def test_topk_plan_pushes_columns(spark, sf):
     df = spark.read.parquet(f"{sf}/chunks.parquet").where("repo_name = 'x'").select("chunk_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(repo_name)" in plan and "vector" not in plan
+
+
+def test_scoped_topk_against_plain_loops(spark):
+    import random
+
+    from ferrule.operators import search
+
+    r = random.Random(2)
+    vec = lambda: [r.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(4)]
+    rows = [(f"c{i:03d}", r.choice("ab"), vec() if i % 9 else None, r.choice(["f", "g", None]), r.choice(["src/x.py", "lib/x.py", "y.js", None]), r.choice(["python", "javascript"])) for i in range(120)]
+    asked = [(i, r.choice(["a", "b", "none", None]), vec() if i % 7 else None, r.choice([None, "f", " "]), r.choice([None, "x.py"]), r.choice([None, "python"])) for i in range(30)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "row_id string, scope string, v array<double>, symbol_name string, file_path string, language string").repartition(5)
+    q = spark.createDataFrame(asked, "query_id int, scope string, v array<double>, symbol string, filename string, language string")
+    got: dict = {}
+    for x in search.scoped_topk(q, df, 4).collect():
+        got.setdefault(x["query_id"], []).append((-x["score"], x["row_id"]))
+    for i, scope, v, symbol, name, lang in asked:
+        fit = [(-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, s, w, sym, path, la in rows if v and w and s == scope and (not (symbol or "").strip() or sym == symbol) and (not name or (path or "").endswith(name)) and (not lang or la == lang)]
+        assert sorted(got.get(i, [])) == sorted(fit)[:4]
+    assert search.scoped_topk(q.limit(0), df, 4).count() == 0 and search.scoped_topk(q, df.limit(0), 4).count() == 0
+
+
+def test_retrieve_obeys_the_gate(spark):
+    from ferrule.plans.engine import retrieve
+
+    chunk = lambda i, sym, path="a.py", lang="python": (f"c{i:02d}", "r", sym, path, lang, "", f"text {i} words", [1.0, float(i)])
+    rows = [chunk(i, "many") for i in range(12)] + [chunk(20, "one"), chunk(21, "one", "b.js", "javascript"), chunk(22, "other")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, repo_name string, symbol_name string, file_path string, language string, docstring string, text string, vector_768 array<double>")
+    ask = [(1, "one"), (2, "many"), (3, "absent"), (4, None), (5, "one")]
+    req = spark.createDataFrame([(i, "words", "r", [1.0, 0.0], s, "b.js" if i == 5 else None) for i, s in ask], "query_id int, question string, repo_name string, vector_768 array<double>, symbol string, filename string")
+    got: dict = {}
+    for x in retrieve(req, chunks, 3, 5, 2).collect():
+        got.setdefault(x["query_id"], []).append((x["source"], x["row_id"]))
+    assert sorted(got[1]) == [("symbol_lookup", "c20"), ("symbol_lookup", "c21")] and got[5] == [("symbol_lookup", "c21")]
+    assert {s for i in (2, 3, 4) for s, _ in got[i]} == {"hybrid"} and all(len(got[i]) == 3 for i in (2, 3, 4))
