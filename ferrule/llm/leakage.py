@@ -85,6 +85,18 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def words_in_common(a: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> int:
+    """At most so long is a common subsequence: ``a``'s distinct words and their numbers against ``b``'s words."""
+    distinct, count = a
+    at = np.minimum(np.searchsorted(distinct, b), len(distinct) - 1)
+    return int(np.minimum(count, np.bincount(at[distinct[at] == b], minlength=len(distinct))).sum()) if len(distinct) else 0
+
+
+def among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Those of ``keys`` that occur in an ordered array."""
+    return keys[ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys] if len(ordered) else keys[:0]
+
+
 def run_keys(ids: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit key of every run of ``n`` words."""
     if len(ids) < n:
@@ -315,6 +327,8 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
     def match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, cells, item_ids, answer_ids, names = held.value
         runs = [np.sort(run_keys(x, min_run)) for x in item_ids]
+        every_run = np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]))
+        counts = [np.unique(x, return_counts=True) for x in item_ids]
         for docs_, starts, all_ids in groups(it):
             rows: dict[str, list] = {"doc_id": [], "item_id": [], "kind": [], "run": [], "common": []}
             at = np.concatenate([windows(int(n), width, step) + a for a, n in zip(starts, np.diff(starts), strict=False)])
@@ -341,10 +355,12 @@ def _leaked_block(docs: DataFrame, items: list, item_type: str, doc_id: str, tex
             for (o, i), (first_, last_) in near.items():
                 ids = all_ids[starts[o] : starts[o + 1]]
                 if o not in runs_of:
-                    runs_of = {o: run_keys(ids, min_run)}
+                    runs_of = {o: among(run_keys(ids, min_run), every_run)}
                 item = item_ids[i]
                 seg = ids[max(0, first_ - starts[o] - len(item)) : last_ - starts[o] + len(item)]
-                run = longest_run(item, ids) if len(runs[i]) and np.isin(runs_of[o], runs[i]).any() else 0
+                run = longest_run(item, ids) if len(among(runs_of[o], runs[i])) else 0
+                if run < min_run and words_in_common(counts[i], seg) < paraphrase * len(item):
+                    continue
                 common = common_subsequence(item, seg) / max(1, len(item))
                 answered = not len(answer_ids[i]) or longest_run(answer_ids[i], ids) == len(answer_ids[i])
                 kind = "run" if run >= min_run else "paraphrase" if common >= paraphrase and answered else None
