@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ferrule.functions import names
 
 # Callees that are built into the languages and so no edges.
-PYTHON_BUILTINS = "len print range isinstance type str int list dict set tuple bool float enumerate zip map filter sorted reversed open super hasattr getattr setattr any all max min".split()
-JAVASCRIPT_BUILTINS = "console Math JSON Object Array String Number Boolean Date RegExp Map Set WeakMap WeakSet Promise Error Symbol Proxy Reflect Intl parseInt parseFloat isNaN isFinite decodeURI decodeURIComponent encodeURI encodeURIComponent eval setTimeout setInterval clearTimeout clearInterval window document fetch alert prompt confirm navigator location localStorage sessionStorage process Buffer require module exports global super this self".split()
+PYTHON_BUILTINS = ["len", "print", "range", "isinstance", "type", "str", "int", "list", "dict", "set", "tuple", "bool", "float", "enumerate", "zip", "map", "filter", "sorted", "reversed", "open", "super", "hasattr", "getattr", "setattr", "any", "all", "max", "min"]
+JAVASCRIPT_BUILTINS = ["console", "Math", "JSON", "Object", "Array", "String", "Number", "Boolean", "Date", "RegExp", "Map", "Set", "WeakMap", "WeakSet", "Promise", "Error", "Symbol", "Proxy", "Reflect", "Intl", "parseInt", "parseFloat", "isNaN", "isFinite", "decodeURI", "decodeURIComponent", "encodeURI", "encodeURIComponent", "eval", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "window", "document", "fetch", "alert", "prompt", "confirm", "navigator", "location", "localStorage", "sessionStorage", "process", "Buffer", "require", "module", "exports", "global", "super", "this", "self"]
 
 
 def hydrate_raw_edges(chunks: DataFrame) -> DataFrame:

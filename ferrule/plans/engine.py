@@ -18,6 +18,7 @@ from ferrule.functions import names, vectors
 from ferrule.operators import context, evaluation, graph, parsing, search
 from ferrule.plans.cache import Cache
 from ferrule.runtime import checkpoint
+from ferrule.sources.files import directory
 from ferrule.sources.store import TableStore, WriteLog, wal_key
 
 
@@ -83,30 +84,45 @@ class Engine:
         """Parses new files, embeds and stores their chunks, and resolves the edges of their repositories.
 
         A file counts as known by the hash of its content, so changed files are read
-        again; files without chunks are logged too.
+        again; files without chunks are logged too. A file that does not parse is logged
+        as such with its error, and tried again by the next call.
         """
         began = time.time()
         keyed = files.withColumn("kwargs", F.create_map(F.lit("hash"), F.sha2("content", 256), F.lit("path"), F.col("path"))).withColumn("key", wal_key(F.col("repo_name"), F.lit("file_indexed"), F.col("kwargs")))
         todo = keyed if force else keyed.join(self.log.done(), "key", "left_anti")
         todo = checkpoint(todo.dropDuplicates(["key"]))
-        n = todo.count()
+        n, broken = todo.count(), 0
         if n:
-            parsed = parsing.chunk_files(todo, self.settings.window_chars, self.settings.window_stride).where("error is null").drop("error")
-            parsed = parsed.withColumn("vector_768", self.embedder.column(F.col("text")))
+            tried = checkpoint(parsing.chunk_files(todo, self.settings.window_chars, self.settings.window_stride))
+            failed = tried.where("error is not null").select("repo_name", F.col("file_path").alias("path"), "error").dropDuplicates(["repo_name", "path"])
+            broken = failed.count()
+            parsed = tried.where("error is null").drop("error").withColumn("vector_768", self.embedder.column(F.col("text")))
             parsed = checkpoint(parsed.withColumn("vector_128", vectors.truncated("vector_768", self.settings.short_dims).cast("array<float>")))
             self.store.add_chunks(parsed)
             chunks = self.store.read("chunks")
             raw = graph.hydrate_raw_edges(chunks).join(chunks.select(F.col("chunk_id").alias("source_id"), "repo_name"), "source_id")
             self.store.add_edges(graph.resolve_edges(raw, chunks))
             self.cache.clear()
-            self.log.record(todo.select(F.col("repo_name").alias("repo"), F.lit("file_indexed").alias("op"), "kwargs"))
-        return {"files_processed": n, "files_skipped": files.count() - n, "total_chunks": self.store.read("chunks").count(), "elapsed_s": round(time.time() - began, 3)}
+            if broken:
+                self.log.record(failed.select(F.col("repo_name").alias("repo"), F.lit("parse_failed").alias("op"), F.create_map(F.lit("error"), F.col("error"), F.lit("path"), F.col("path")).alias("kwargs")))
+            self.log.record(todo.join(failed, ["repo_name", "path"], "left_anti").select(F.col("repo_name").alias("repo"), F.lit("file_indexed").alias("op"), "kwargs"))
+        return {"files_processed": n, "files_failed": broken, "files_skipped": files.count() - n, "total_chunks": self.store.read("chunks").count(), "elapsed_s": round(time.time() - began, 3)}
+
+    def index_directory(self, root: str, repo: str, force: bool = False) -> dict:
+        """``index`` for the source files below a folder, up to ``max_file_bytes`` each."""
+        return self.index(directory(self.spark, root, repo, self.settings.max_file_bytes), force)
+
+    def nearest(self, questions: DataFrame) -> DataFrame:
+        """The chunks of all repositories nearest to each question (``query_id, question``), over the inverted-file index."""
+        q = questions.select("query_id", self.embedder.column(F.col("question"), True).alias("vector_768"))
+        rows = self.store.read("chunks").select(F.col("chunk_id").alias("query_id"), "vector_768")
+        return search.ann_topk(q, rows, "query_id", "query_id", "vector_768", self.settings.top_k, self.settings.ann_min_rows)
 
     def candidates(self, questions: DataFrame) -> DataFrame:
         """Hybrid hits of questions (``query_id, question, repo_name``): short-vector cascade and BM25, fused."""
         s, chunks = self.settings, self.store.read("chunks")
         q = questions.withColumn("vector_768", self.embedder.column(F.col("question"), True))
-        return hybrid(q, chunks, s.top_k, s.top_k * s.candidate_factor, s.short_dims, s.rrf_k)
+        return hybrid(q, chunks, s.top_k, s.top_k * s.candidate_factor, s.short_dims, s.rrf_k, s.bm25_scope == "tenant")
 
     def query(self, questions: DataFrame) -> DataFrame:
         """Prompt and sources of every question: seeds, one hop of neighbours, one context within the budget.
@@ -116,7 +132,7 @@ class Engine:
         """
         s, chunks, nodes, edges = self.settings, self.store.read("chunks"), self.store.read("nodes"), self.store.read("edges")
         asked = questions.withColumn("vector_768", self.embedder.column(F.col("question"), True))
-        hits = retrieve(asked, chunks, s.top_k, s.top_k * s.candidate_factor, s.short_dims, s.rrf_k).select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), "source")
+        hits = retrieve(asked, chunks, s.top_k, s.top_k * s.candidate_factor, s.short_dims, s.rrf_k, s.bm25_scope == "tenant").select("query_id", F.col("row_id").alias("chunk_id"), F.col("rank").alias("pos"), "source")
         hits = checkpoint(hits)  # a few rows per question, read three times below
         near = graph.expand_neighbors(hits.select("query_id", "chunk_id"), edges, nodes, s.neighbor_limit)
         near = near.select("query_id", "chunk_id", F.dense_rank().over(Window.partitionBy("query_id").orderBy("chunk_id")).alias("pos"), F.lit("graph_expand").alias("source"))
@@ -141,13 +157,23 @@ class Engine:
         return self.cache.get("answer", (question, repo), lambda: self.answer(question, repo))
 
     def generated(self, prompts: DataFrame, column: str = "prompt") -> DataFrame:
-        """Adds ``reply`` to a table of prompts, generated on the executors."""
+        """Adds ``reply`` to a table of prompts, generated on the executors, and ``error`` where a prompt failed."""
         generate = self.generate
 
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda p: generate(p)[0] if isinstance(p, str) else None)
-
-        return prompts.withColumn("reply", F.pandas_udf(run, "string")(column))
+        def run(s: pd.Series) -> pd.DataFrame:
+            out: dict[str, list] = {"reply": [], "error": []}
+            for p in s:
+                reply = error = None
+                try:
+                    reply = generate(p)[0] if isinstance(p, str) else None
+                except Exception as e:  # a model that fails on one prompt fails on no other
+                    error = f"{type(e).__name__}: {e}"
+                out["reply"].append(reply)
+                out["error"].append(error)
+            return pd.DataFrame(out)
+
+        got = prompts.withColumn("_got", F.pandas_udf(run, "reply string, error string")(column))
+        return got.withColumn("reply", F.col("_got.reply")).withColumn("error", F.col("_got.error")).drop("_got")
 
     def judged(self, answers: DataFrame) -> DataFrame:
         """A judge's score for a fixed share (``judge_rate``) of answers (``query_id, answer, context``); null where it gives no number."""
@@ -155,6 +181,11 @@ class Engine:
         picked = answers.where(evaluation.sampled(F.col("query_id"), self.settings.judge_rate)).withColumn("prompt", ask)
         return self.generated(picked).select("query_id", evaluation.judge_score(F.col("reply")).alias("faithfulness"))
 
+    def relevance(self, answers: DataFrame) -> DataFrame:
+        """A judge's score of how well answers fit their questions (``query_id, question, answer``); null where it gives no number."""
+        ask = context.filled("How well does the text answer the question? Reply with 'Score: <0 to 1>'.\n\nText: {context}\n\nQuestion: {question}", F.left("answer", F.lit(2000)), F.col("question"))
+        return self.generated(answers.withColumn("prompt", ask)).select("query_id", evaluation.judge_score(F.col("reply")).alias("relevance"))
+
     def golden(self, n: int) -> DataFrame:
         """Question-answer rows for the ``n`` chunks that call most, from the chunk and up to five neighbours.
 
@@ -176,18 +207,38 @@ class Engine:
         stats = graph.store_stats(*(self.store.read(t) for t in ("chunks", "nodes", "edges")))
         return {"status": "ok"} | {r["what"]: r["n"] for r in stats.collect()}
 
-    def evaluate(self, golden: DataFrame) -> DataFrame:
-        """Means of precision and recall over golden questions (``query_id, question, repo_name, expected_chunk_ids``), in one job."""
-        got = self.candidates(golden).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda x: x["row_id"]).alias("retrieved"))
-        rows = golden.join(got, "query_id", "left").select(evaluation.precision_at_k(F.col("retrieved"), F.col("expected_chunk_ids")).alias("p"), evaluation.context_recall(F.col("retrieved"), F.col("expected_chunk_ids")).alias("r"))
-        return rows.agg(F.count("*").alias("n"), evaluation.mean(F.col("p")).alias("precision_at_5"), evaluation.mean(F.col("r")).alias("context_recall"))
-
+    def evaluated(self, golden: DataFrame, judge: bool = True) -> DataFrame:
+        """A row per golden question (``query_id, question, repo_name, expected_chunk_ids``), answered in one job.
 
-def hybrid(questions: DataFrame, chunks: DataFrame, k: int, width: int, short_dims: int = 128, rrf_k: int = 60) -> DataFrame:
+        Result: ``query_id, question, route, chunks_retrieved, precision_at_5,
+        context_recall, answer_relevance, faithfulness, latency_ms, error``. A question
+        whose answer failed has its error and zeros; faithfulness is null beyond the
+        judged share; latency is the job's time by question.
+        """
+        began, score = time.time(), F.lit(None).cast("double")
+        asked = checkpoint(self.generated(self.query(golden)))
+        latency = 1000 * (time.time() - began) / max(1, asked.count())
+        fine = F.col("error").isNull()
+        hits = F.filter("sources", lambda x: x["source"] != "graph_expand")
+        rows = asked.withColumn("retrieved", F.transform(F.array_sort(F.transform(hits, lambda x: F.struct(x["place"], x["chunk_id"]))), lambda x: x["chunk_id"]))
+        rows = rows.withColumn("answer_relevance", evaluation.answer_cosine(F.col("reply"), F.col("question"), self.embedder.column(F.col("reply")), self.embedder.column(F.col("question"), True)))
+        if judge:
+            rows = rows.join(self.judged(asked.select("query_id", F.col("reply").alias("answer"), "context")), "query_id", "left")
+            score = F.col("faithfulness")
+        measures = {"precision_at_5": evaluation.precision_at_k(F.col("retrieved"), F.col("expected_chunk_ids")), "context_recall": evaluation.context_recall(F.col("retrieved"), F.col("expected_chunk_ids")), "answer_relevance": F.col("answer_relevance")}
+        return rows.select("query_id", "question", "route", F.coalesce(F.size("retrieved"), F.lit(0)).alias("chunks_retrieved"), *(F.when(fine, m).otherwise(0.0).alias(n) for n, m in measures.items()), F.when(fine, score).otherwise(0.0).alias("faithfulness"), F.when(fine, F.lit(latency)).otherwise(0.0).alias("latency_ms"), "error")
+
+    def evaluate(self, golden: DataFrame, judge: bool = True) -> DataFrame:
+        """The number of golden questions and their five means."""
+        return evaluation.eval_summary(self.evaluated(golden, judge))
+
+
+def hybrid(questions: DataFrame, chunks: DataFrame, k: int, width: int, short_dims: int = 128, rrf_k: int = 60, text_scope: bool = True) -> DataFrame:
     """Cascade and BM25 of questions (``query_id, question, repo_name, vector_768``) within their repositories, fused.
 
     Columns ``symbol, filename, language``, where given, narrow the vector leg: equal
-    symbol and language, path that ends with the file name.
+    symbol and language, path that ends with the file name. Without ``text_scope`` BM25
+    goes through all repositories.
 
     Result: ``query_id, row_id, vector_rank, text_rank, rrf_score, rank``.
     """
@@ -199,11 +250,11 @@ def hybrid(questions: DataFrame, chunks: DataFrame, k: int, width: int, short_di
     near = search.scoped_topk(asked, c.select("row_id", F.col("repo_name").alias("scope"), vectors.truncated("rv", short_dims).alias("v"), "symbol_name", "file_path", "language"), width).select("query_id", "row_id")
     full = near.join(q.select("query_id", "vector_768"), "query_id").join(c.select("row_id", "rv"), "row_id")
     vec = full.select("query_id", "row_id", vectors.dot("vector_768", "rv").alias("score")).withColumn("rank", F.row_number().over(w) - 1)
-    text = search.bm25_topk(q, chunks, "query_id", "question", "chunk_id", names.search_content("symbol_name", "docstring", "text"), width, "repo_name", "repo_name")
+    text = search.bm25_topk(q, chunks, "query_id", "question", "chunk_id", names.search_content("symbol_name", "docstring", "text"), width, *(("repo_name", "repo_name") if text_scope else ()))
     return search.rrf(vec, text, k, rrf_k)
 
 
-def retrieve(requests: DataFrame, chunks: DataFrame, k: int, width: int, short_dims: int = 128, rrf_k: int = 60, most: int = 10) -> DataFrame:
+def retrieve(requests: DataFrame, chunks: DataFrame, k: int, width: int, short_dims: int = 128, rrf_k: int = 60, text_scope: bool = True, most: int = 10) -> DataFrame:
     """Seeds of every request: exact matches of its symbol, else hybrid hits.
 
     ``requests``: as for ``hybrid``, with ``symbol, filename, language`` where wanted.
@@ -220,5 +271,5 @@ def retrieve(requests: DataFrame, chunks: DataFrame, k: int, width: int, short_d
     exact = checkpoint(exact.where(F.col("n") <= most).select("query_id", "row_id", F.lit("symbol_lookup").alias("source"), F.col("rank") - 1))  # at most ``most`` rows a request
     exact = exact.toDF("query_id", "row_id", "source", "rank")
     rest = requests.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    found = hybrid(rest, chunks, k, width, short_dims, rrf_k)
+    found = hybrid(rest, chunks, k, width, short_dims, rrf_k, text_scope)
     return exact.unionByName(found.select("query_id", "row_id", F.lit("hybrid").alias("source"), F.col("rank").cast("int").alias("rank")))

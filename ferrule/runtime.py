@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (a
-    single-machine session, as in tests) a temporary folder is chosen.
+    It is read from ``spark.checkpoint.dir``. Only where that is unset in a
+    single-machine session, as in tests, a temporary folder is chosen; on a cluster
+    its absence is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), "ferrule-checkpoints")
     return path
 

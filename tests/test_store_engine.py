@@ -102,6 +102,34 @@ def test_engine_stores_files_without_a_parser(spark, tmp_path):
     assert e.store.read("edges").count() == 0 and "worker" in e.answer("Which image has the worker?", "r")["answer"]
 
 
+def test_engine_keeps_failures(spark, tmp_path):
+    e = engine.Engine(spark, store.TableStore(spark, str(tmp_path / "t")), store.WriteLog(spark, str(tmp_path / "wal")), Settings(judge_rate=1.0), engine.HashEmbedder(768))
+    fs = spark.createDataFrame([("r", "a.py", "def read_rows(path):\n    return open(path)\n", "python"), ("r", "b.py", "def broken(:\n", "python")], "repo_name string, path string, content string, language string")
+    got = e.index(fs)
+    assert (got["files_processed"], got["files_failed"], got["total_chunks"]) == (2, 1, 1)
+    assert [(r["op"], r["kwargs"]["path"]) for r in e.log.entries().where("op = 'parse_failed'").collect()] == [("parse_failed", "b.py")]
+    again = e.index(fs)  # only what failed is tried again
+    assert (again["files_processed"], again["files_failed"]) == (1, 1)
+    ids = [r["chunk_id"] for r in e.store.read("chunks").collect()]
+    gold = spark.createDataFrame([(1, "How does read_rows open the path?", "r", ids), (2, "What fails?", "r", ids)], "query_id int, question string, repo_name string, expected_chunk_ids array<string>")
+
+    def generate(prompt):
+        if "What fails?" in prompt and "Score" not in prompt:
+            raise RuntimeError("no model")
+        return ("Score: 0.5" if "Score" in prompt else "read_rows opens the path", 1)
+
+    e.generate = generate
+    rows = {r["query_id"]: r for r in e.evaluated(gold).collect()}
+    assert rows[1]["error"] is None and rows[1]["context_recall"] == 1.0 and rows[1]["faithfulness"] == 0.5 and rows[1]["answer_relevance"] > 0 and rows[1]["latency_ms"] > 0
+    assert "no model" in rows[2]["error"] and rows[2]["context_recall"] == 0.0 and rows[2]["chunks_retrieved"] == 1
+    m = e.evaluate(gold).first()
+    assert m["n"] == 2 and m["context_recall"] == 0.5
+    assert e.relevance(spark.createDataFrame([(1, "q", "a")], "query_id int, question string, answer string")).first()["relevance"] == 0.5
+    asked = spark.createDataFrame([(1, "How?", "r", "read_rows")], "query_id int, question string, repo_name string, symbol string")
+    assert [(x["chunk_id"], x["source"]) for x in e.query(asked).first()["sources"]] == [(ids[0], "symbol_lookup")]
+    assert e.nearest(gold).where("query_id = 1").first()["row_id"] == ids[0]
+
+
 def test_stream_ingest(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = spark.createDataFrame([(1, "a")], "k int, v string").schema
