@@ -1,14 +1,16 @@
 """Most similar vectors for every vector (problem 1).
 
-A forest of random-projection trees is fitted on a bounded sample: a node splits at
-the median along the line through two centres that start from two random members.
-Every vector descends all trees at once: one priority queue per vector, shared by the
-trees, holds the open branches ordered by how far the vector lies on their wrong side,
-and its best leaves are the ones searched. Trees that need more levels than the sample
-can fit grow on: each leaf draws a sample of its own and is split again, until leaves
-are as small as wanted. Within a leaf all members are compared exactly, block by
-block; a leaf that is much larger all the same is shared out by pairs of its parts.
-The best partners of all leaves are merged.
+A forest of random-projection trees is fitted on a bounded sample: a node projects on
+the directions of many random members at once, not on one line, and has a branch for
+each; a vector belongs to the branch it reaches furthest along. Near vectors lie far
+along the same few of many directions, where a chain of halvings would part them at
+one level or another, the more surely the more levels there are. Every vector descends
+all trees at once: one priority queue per vector, shared by the trees, holds the leaves
+of its open branches ordered by nearness, and its best leaves are the ones searched.
+Trees that need more leaves than the sample has rows grow on: each leaf draws a sample
+of its own and is split again, until leaves are as small as wanted. Within a leaf all
+members are compared exactly, block by block; a leaf that is much larger all the same
+is shared out by pairs of its parts. The best partners of all leaves are merged.
 
 Only distinct directions travel: a task sends one vector per direction, however
 many rows share it, so copies of one vector never pile up in a leaf. Vectors
@@ -32,67 +34,72 @@ from pyspark.sql import functions as F
 
 #: Rows on which the trees, or the further levels of a leaf, are fitted, at most. Every row is indexed.
 SAMPLE_ROWS = 16_384
-#: Levels that a sample fits: its nodes keep 16 rows or more.
-FITTED_LEVELS = 10
+#: Levels that a sample fits: each leaf has a row of it as its centre.
+FITTED_LEVELS = 13
+#: Leaves of a tree that are met without cells.
+FLAT = 64
 #: Members that a leaf may have for one task to compare them all; more are shared out by pairs of parts.
 HOT_LEAF = 10_000
 #: Vectors that a search task is sent, on average.
 TASK_VECTORS = 8_000
 
 
-def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level of the forest, planes and offsets of all its nodes.
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    A node's plane lies across the line through two centres, which begin as two of its
-    sample vectors and move to the middle of what is nearer to them; its offset is the
-    median of the node's sample along that line.
+
+def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[Tree]:
+    """Per tree the centres of its cells, those of its leaves, and the cell of each leaf.
+
+    A tree has 2 ** ``depth`` leaves, as far as the sample has distinct rows. Their
+    centres are rows of the sample, others in each tree as long as these last. More
+    than ``FLAT`` leaves are reached by cells, half of the levels up, whose centres
+    begin as rows too and move to the middle of the rows nearest to them.
     """
-    rng, levels = np.random.default_rng(seed), []
-    groups = [np.arange(len(sample)) for _ in range(trees)]
-    for _ in range(depth):
-        planes, offsets, below = [], [], []
-        for rows in groups:
-            a, b = sample[rng.choice(rows, 2, replace=False)] if len(rows) > 1 else rng.normal(size=(2, sample.shape[1])).astype(np.float32)
-            mine = sample[rows]
-            for _ in range(4 if len(rows) > 8 else 0):
-                nearer = mine @ (a - b) > (a @ a - b @ b) / 2
-                if nearer.all() or not nearer.any():
-                    break
-                a, b = mine[nearer].mean(0), mine[~nearer].mean(0)
-            plane = a - b
-            if not np.any(plane):
-                plane = rng.normal(size=sample.shape[1])
-            plane = (plane / np.linalg.norm(plane)).astype(np.float32)
-            side = mine @ plane
-            offset = np.float32(np.median(side)) if len(rows) else np.float32(0)
-            planes.append(plane)
-            offsets.append(offset)
-            below += [rows[side < offset], rows[side >= offset]]
-        levels.append((np.array(planes, np.float32), np.array(offsets, np.float32)))
-        groups = below
-    return levels
-
-
-def best_leaves(vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], trees: int, probes: int) -> np.ndarray:
-    """The ``probes`` most promising leaves of each row over all trees.
-
-    The queue of a row is kept for all rows at once: its open branches, with the
-    squared distance by which the row lies on their wrong side, go down a level at
-    a time and the nearest 4 * probes stay open.
+    rng, forest = np.random.default_rng(seed), []
+    rows = np.sort(np.unique(direction_keys(sample), return_index=True)[1]) if len(sample) else np.zeros(0, np.int64)
+    order, leaves = rng.permutation(rows), min(2**depth, max(1, len(rows)))
+    for t in range(trees):
+        centres = sample[order.take(range(t * leaves, (t + 1) * leaves), mode="wrap")] if len(rows) else unit(rng.normal(size=(1, sample.shape[1])).astype(np.float32))
+        if leaves <= FLAT:
+            forest.append((centres[:1], centres, np.zeros(leaves, np.int64)))
+            continue
+        cells = sample[rng.choice(rows, 2 ** ((depth + 1) // 2), replace=False)]
+        for _ in range(3):
+            nearest = (sample @ cells.T).argmax(1)
+            middle = cells.copy()
+            np.add.at(middle, nearest, sample)
+            cells = unit(middle)
+        forest.append((cells, centres, (centres @ cells.T).argmax(1)))
+    return forest
+
+
+def best_leaves(vectors: np.ndarray, forest: list[Tree], probes: int) -> np.ndarray:
+    """The ``probes`` leaves of the forest whose centres are nearest to each row; ids count tree by tree.
+
+    Each row opens the quarter of a tree's cells that is nearest to it. The leaves of
+    an open cell enter the row's queue, which all trees share and which keeps the best.
+    The queues of all rows are kept at once, a cell at a time.
     """
-    n = len(vectors)
-    node = np.tile(np.arange(trees, dtype=np.int64), (n, 1))
-    wrong = np.zeros((n, trees), np.float32)
-    for planes, offsets in levels:
-        at = vectors @ planes.T - offsets
-        margin = np.take_along_axis(at, node, 1)  # ids of nodes count tree by tree from the left
-        node = np.stack([2 * node, 2 * node + 1], 2).reshape(n, -1)
-        wrong = np.stack([wrong + np.maximum(margin, 0) ** 2, wrong + np.maximum(-margin, 0) ** 2], 2).reshape(n, -1)
-        if wrong.shape[1] > 4 * probes:
-            keep = np.argpartition(wrong, 4 * probes, 1)[:, : 4 * probes]
-            node, wrong = np.take_along_axis(node, keep, 1), np.take_along_axis(wrong, keep, 1)
-    order = np.argsort(wrong, axis=1, kind="stable")[:, :probes]
-    return np.take_along_axis(node, order, 1)
+    n, above, queues = len(vectors), 0, []
+    for cells, centres, cell_of in forest:
+        wide = math.ceil(len(cells) / 4)
+        opened = np.argpartition(-(vectors @ cells.T), wide - 1, 1)[:, :wide] if len(cells) > 1 else np.zeros((n, 1), np.int64)
+        near, ids = np.full((n, wide, probes), -2, np.float32), np.full((n, wide, probes), -1, np.int64)
+        rows, slots = np.divmod(np.argsort(opened, axis=None, kind="stable"), wide)
+        ends = np.searchsorted(opened[rows, slots], np.arange(len(cells) + 1))
+        order = np.argsort(cell_of, kind="stable")
+        starts = np.searchsorted(cell_of[order], np.arange(len(cells) + 1))
+        for c in range(len(cells)):
+            mine, r, s = order[starts[c] : starts[c + 1]], rows[ends[c] : ends[c + 1]], slots[ends[c] : ends[c + 1]]
+            if not len(mine) or not len(r):
+                continue
+            at = vectors[r] @ centres[mine].T
+            take = np.argpartition(-at, probes - 1, 1)[:, :probes] if len(mine) > probes else np.tile(np.arange(len(mine)), (len(r), 1))
+            near[r, s, : take.shape[1]], ids[r, s, : take.shape[1]] = np.take_along_axis(at, take, 1), mine[take] + above
+        queues.append((near.reshape(n, -1), ids.reshape(n, -1)))
+        above += len(centres)
+    near, ids = np.concatenate([q for q, _ in queues], 1), np.concatenate([i for _, i in queues], 1)
+    return np.take_along_axis(ids, np.argsort(-near, axis=1, kind="stable")[:, : min(probes, above)], 1)
 
 
 def pack(block: np.ndarray) -> bytes:
@@ -228,23 +235,22 @@ def grow(blocks: DataFrame, dim: int, levels: int, members: float, seed: int) ->
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         leaf = int(pdf["leaf"].iloc[0])
-        fitted = fit_forest(unit(read_blocks(pdf["dirs"], pdf["block"], dim)[1][:SAMPLE_ROWS]), 1, levels, seed + leaf)
-        return pd.DataFrame({"leaf": [leaf], "planes": [np.concatenate([p for p, _ in fitted]).tobytes()], "offsets": [np.concatenate([o for _, o in fitted]).tobytes()]})
+        ((cells, centres, cell_of),) = fit_forest(unit(read_blocks(pdf["dirs"], pdf["block"], dim)[1][:SAMPLE_ROWS]), 1, levels, seed + leaf)
+        return pd.DataFrame({"leaf": [leaf], "cells": [cells.tobytes()], "centres": [centres.tobytes()], "cell_of": [cell_of.tobytes()]})
 
     def descend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for leaf, dirs, block, planes, offsets in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for leaf, dirs, block, cells, centres, cell_of in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 keys, v = np.frombuffer(dirs, np.int64), unpack(block, dim)
-                if planes is None:  # none of its members was drawn
+                if centres is None:  # none of its members was drawn
                     yield pa.RecordBatch.from_pydict({"leaf": [leaf << levels], "dirs": [dirs], "block": [block]}, schema=BLOCKS)
                     continue
-                planes, offsets = np.frombuffer(planes, np.float32).reshape(-1, dim), np.frombuffer(offsets, np.float32)
-                fitted = [(planes[2**i - 1 : 2 ** (i + 1) - 1], offsets[2**i - 1 : 2 ** (i + 1) - 1]) for i in range(levels)]
-                yield blocks_of(best_leaves(unit(v), fitted, 1, 1), keys, v, leaf << levels)
+                tree = np.frombuffer(cells, np.float32).reshape(-1, dim), np.frombuffer(centres, np.float32).reshape(-1, dim), np.frombuffer(cell_of, np.int64)
+                yield blocks_of(best_leaves(unit(v), [tree], 1), keys, v, leaf << levels)
 
     shape = "leaf long, dirs binary, block binary"
-    fitted = blocks.mapInArrow(pick, shape).groupBy("leaf").applyInPandas(fit, "leaf long, planes binary, offsets binary")
-    return blocks.join(fitted, "leaf", "left").select("leaf", "dirs", "block", "planes", "offsets").mapInArrow(descend, shape)
+    fitted = blocks.mapInArrow(pick, shape).groupBy("leaf").applyInPandas(fit, "leaf long, cells binary, centres binary, cell_of binary")
+    return blocks.join(fitted, "leaf", "left").select("leaf", "dirs", "block", "cells", "centres", "cell_of").mapInArrow(descend, shape)
 
 
 def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 2, probes: int = 4, leaf_members: int = 1_500, seed: int = 7, exact: bool = False) -> DataFrame:
@@ -281,10 +287,10 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
     sample = np.concatenate([unpack(bytes(b.block), dim) for b in blocks])[:SAMPLE_ROWS] if blocks else np.zeros((0, dim), np.float32)
     del blocks
     first_levels = min(depth, FITTED_LEVELS)
-    levels = fit_forest(sample, trees, first_levels, seed)
-    forest = spark.sparkContext.broadcast(levels)
+    fitted = fit_forest(sample, trees, first_levels, seed)
+    forest = spark.sparkContext.broadcast(fitted)
     # The sample tells which leaves will outgrow a task; these are shared out by pairs of parts.
-    crowd = np.bincount(best_leaves(sample, levels, trees, probes).ravel(), minlength=trees << first_levels) if len(sample) else np.zeros(1)
+    crowd = np.bincount(best_leaves(sample, fitted, probes).ravel(), minlength=trees << first_levels) if len(sample) else np.zeros(1)
     crowd = crowd * (rows / max(1, len(sample)) / 2 ** (depth - first_levels))
     hot = {int(p): math.ceil(crowd[p] / HOT_LEAF) for p in np.flatnonzero(crowd > 2 * HOT_LEAF)}
 
@@ -294,7 +300,7 @@ def nearest_neighbors(df: DataFrame, id_col: str, vector_col: str, dim: int, k:
 
         def flush() -> pa.RecordBatch:
             keys, v = np.concatenate(held_keys), np.concatenate(held)
-            return blocks_of(best_leaves(unit(v), forest.value, trees, probes), keys, v)
+            return blocks_of(best_leaves(unit(v), forest.value, probes), keys, v)
 
         for b in it:
             _, v = eligible(b, dim)

@@ -46,6 +46,16 @@ def test_deep_trees_and_hot_leaves(clusters, monkeypatch, fitted, hot, exact):
     assert len(set(rows) - want) <= 0.05 * len(rows)
 
 
+def test_many_leaves_keep_neighbors_together():
+    r = np.random.default_rng(4)
+    m = np.repeat(r.normal(size=(8_000, 256)), 2, axis=0) + 0.35 * r.normal(size=(16_000, 256))
+    u = neighbors.unit(m.astype(np.float32))
+    forest = neighbors.fit_forest(u[r.choice(len(u), 4_096, replace=False)], 2, 11, 7)
+    leaves = np.concatenate([neighbors.best_leaves(x, forest, 4) for x in np.split(u, 8)])
+    together = (leaves[::2, :, None] == leaves[1::2, None, :]).any((1, 2))
+    assert together.mean() >= 0.9 and np.bincount(leaves.ravel()).max() < 20 * leaves.size / 4_096
+
+
 def test_copies_are_neighbors(spark):
     rows = [(f"a{i}", [1.0, 2.0, 3.0, 4.0]) for i in range(9)] + [("b", [4.0, -3.0, 2.0, -1.0]), ("c", [4.0, -3.0, 2.0, -1.1])]
     df = spark.createDataFrame(rows, "id string, v array<float>")
