@@ -81,6 +81,46 @@ def test_bm25(spark):
     assert {(r["term"], r["row_id"], r["tf"]) for r in search.postings(df.where("repo = 'b'"), "i", "t").collect()} == {("red", 5, 1), ("fish", 5, 1)}
 
 
+def written(spark):
+    """Bytes that were shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_bm25_does_not_shuffle_pairs(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    texts = [(f"t{i:04d}", "the " * (1 + i % 3) + r.choice(["red", "blue", "green"]) + " fish" * r.randrange(3)) for i in range(3_000)]
+    asks = [(i, f"the {r.choice(['red', 'blue', 'grey'])} {r.choice(['fish', 'bird'])}") for i in range(300)]
+    df = spark.createDataFrame([*texts, *texts[:50]], "i string, t string").repartition(4)
+    q = spark.createDataFrame(asks, "q long, t string")
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 170)
+    before, got = written(spark), {}
+    for x in search.bm25_topk(q, df, "q", "t", "i", "t", 5).collect():
+        got.setdefault(x["query_id"], {})[x["rank"]] = (x["row_id"], round(x["score"], 9))
+    assert written(spark) - before < 2_000_000
+    bags = {i: t.split() for i, t in texts}
+    avgdl = sum(map(len, bags.values())) / len(bags)
+    df_of = {w: sum(w in b for b in bags.values()) for w in "the red blue grey fish bird".split()}
+    best = {}
+    for i, t in asks:
+        if t not in best:
+            score = {j: sum(np.log(1 + (3_000 - df_of[w] + 0.5) / (df_of[w] + 0.5)) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / avgdl)) for w in t.split()) for j, b in bags.items()}
+            best[t] = sorted(((-round(s, 9), j) for j, s in score.items() if s > 0))[:5]
+        assert [got[i][n][0] for n in range(5)] == [j for _, j in best[t]]
+        assert [got[i][n][1] for n in range(5)] == pytest.approx([-s for s, _ in best[t]], abs=2e-9)
+
+
+def test_bm25_sums_over_all_scopes_of_a_query(spark):
+    df = spark.createDataFrame([("a", "x", "red fish"), ("b", "x", "red"), ("b", "y", "red"), (None, "z", "red"), ("c", "z", "red"), ("c", "v", "...")], "repo string, i string, t string")
+    q = spark.createDataFrame([("a", 1, "red"), ("b", 1, "red"), (None, 2, "red"), ("c", 3, "blue")], "repo string, q long, t string")
+    got = {(x["query_id"], x["row_id"]): x["score"] for x in search.bm25_topk(q, df, "q", "t", "i", "t", 5, "repo", "repo").collect()}
+    gain = lambda n, d, dl, avgdl: np.log(1 + (n - d + 0.5) / (d + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    assert got == {(1, "x"): pytest.approx(gain(1, 1, 2, 2) + gain(2, 2, 1, 1)), (1, "y"): pytest.approx(gain(2, 2, 1, 1))}
+
+
 def test_rrf(spark):
     a = spark.createDataFrame([(0, c, i) for i, c in enumerate(["c1", "c2", "c3"])], "query_id int, row_id string, rank int")
     b = spark.createDataFrame([(0, c, i) for i, c in enumerate(["c3", "c4", "c1"])], "query_id int, row_id string, rank int")
