@@ -97,6 +97,7 @@ def test_bm25_does_not_shuffle_pairs(spark, monkeypatch):
     df = spark.createDataFrame([*texts, *texts[:50]], "i string, t string").repartition(4)
     q = spark.createDataFrame(asks, "q long, t string")
     monkeypatch.setattr(search, "QUESTION_BLOCK", 170)
+    monkeypatch.setattr(search, "SCORES", 10_000)
     before, got = written(spark), {}
     for x in search.bm25_topk(q, df, "q", "t", "i", "t", 5).collect():
         got.setdefault(x["query_id"], {})[x["rank"]] = (x["row_id"], round(x["score"], 9))
@@ -135,6 +136,13 @@ def test_rerank(spark):
     assert [r["row_id"] for r in got] == ["x", "y"]
 
 
+def test_registered_rerank_does_not_shuffle_pairs(spark):
+    before = written(spark)
+    got = catalog.queries()["rerank"](spark, "/root/testdata/sf0.1").collect()
+    assert len({(r["query_id"], r["rank"]) for r in got}) == len(got) > 250
+    assert written(spark) - before < 20_000_000
+
+
 def test_topk_plan_pushes_columns(spark, sf):
     df = spark.read.parquet(f"{sf}/chunks.parquet").where("repo_name = 'x'").select("chunk_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
