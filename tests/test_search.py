@@ -143,6 +143,26 @@ def test_registered_rerank_does_not_shuffle_pairs(spark):
     assert written(spark) - before < 20_000_000
 
 
+def test_registered_rerank_shuffles_less_than_pairs_of_many_questions(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    r = random.Random(5)
+    text = lambda n: "the index of " + " ".join(f"w{x}" for x in r.choices(range(40), k=n))
+    chunks = [(f"c{i:04d}", f"f{i % 7}", None if i % 3 else "the docs", text(6) if i % 90 else None) for i in range(2_000)]
+    spark.createDataFrame([*chunks, *chunks[:50]], "chunk_id string, symbol_name string, docstring string, text string").repartition(4).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(25 * i, f"Where is {text(3)}?" if i % 60 else None) for i in range(800)], "qa_id long, question string").write.parquet(f"{tmp_path}/qa_pairs.parquet")
+    before = written(spark)
+    got = catalog.queries()["rerank"](spark, str(tmp_path)).collect()
+    assert written(spark) - before < 2_000_000  # 386 questions by nearly 2,000 rows that share words with each
+    con = duckdb.connect()
+    for t in ("chunks", "qa_pairs"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(f"select query_id, rank, row_id, reranker_score from ({catalog.oracle_sql()['rerank']})").fetchall()
+    assert sorted((x["query_id"], x["rank"], x["row_id"], x["reranker_score"]) for x in got) == sorted(want) and len(want) > 1_900
+
+
 def test_topk_plan_pushes_columns(spark, sf):
     df = spark.read.parquet(f"{sf}/chunks.parquet").where("repo_name = 'x'").select("chunk_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
